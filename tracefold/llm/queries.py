@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import sharding
+from tracefold.llm import sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CRC_SQL = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-  lambda c, b: xor(c >> 8, (SELECT t FROM crc_table)[(xor(c, b) & 255) + 1]))"""
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"""
 
 OP2_SQL = f"""
 WITH crc_table AS (
@@ -28,7 +28,7 @@ WITH crc_table AS (
     lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (
   SELECT row_number() OVER () AS row, doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-    xor({_CRC_SQL}, 4294967295) AS text_crc32, coalesce(doc_id::VARCHAR, '') AS name FROM documents),
+    xor({_CRC_SQL}, 4294967295) AS text_crc32, coalesce(doc_id::VARCHAR, '') AS name FROM documents, crc_table),
 s AS (
   SELECT row, g.shard, -ln((('0x' || substr(md5(name || '#' || g.shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score
   FROM d, (SELECT unnest(range(41)) AS shard) g),
@@ -39,5 +39,24 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS sha
 FROM d JOIN p USING (row)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding}
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL}
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), length=50).withColumnRenamed("id", "doc_id")
+
+
+#: Window starts by their word sequence; the earliest document of each sequence keeps its words.
+OP1_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT p.doc_id, i, sha256(array_to_string(d.w[i:i + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
+m AS (SELECT h, min(doc_id) AS first_id FROM h GROUP BY h),
+g AS (SELECT doc_id, list(i) AS starts FROM h JOIN m USING (h) WHERE first_id < doc_id GROUP BY doc_id),
+r AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS gone FROM g),
+k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), lambda i: w[i]) END AS kept
+  FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL}
