@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import sharding, simhash, substring
+from tracefold.llm import decontaminate, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL.format("text")} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL.format("text")} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS phrase, least(len(w), 10) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM q),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n),
+h AS (SELECT p.doc_id, i, p.n, q.item FROM p JOIN d USING (doc_id) JOIN q ON q.phrase = array_to_string(d.w[i:i + p.n - 1], ' ') AND q.n = p.n),
+g AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n))))) AS n_hit, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 #: Window starts by their word sequence; the earliest document of each sequence keeps its words.
 OP1_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
@@ -63,5 +83,5 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op2_sharding": op2_sharding}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op2_sharding": op2_sharding}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op2_sharding": OP2_SQL}
