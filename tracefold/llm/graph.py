@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="checkpoint")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
-    session: SparkSession = df.sparkSession
-    if not session.conf.get("spark.checkpoint.dir", "") and session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    """Cuts lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, sharding, simhash, substring
+from tracefold.llm import decontaminate, sharding, simhash, substring, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfile.scratch(spark)
+    tokenfile.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return tokenfile.read(spark, folder).withColumnRenamed("key", "doc_id")
+
+
 _WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP5_SQL = f"""
@@ -83,5 +90,5 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op2_sharding": op2_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op2_sharding": op2_sharding}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op2_sharding": OP2_SQL}

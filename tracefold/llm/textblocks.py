@@ -141,3 +141,26 @@ def joined(body: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
     out = body.copy()
     out[(starts - inner)[keep & (inner > 0)]] = 0x20
     return out[mask], place[starts], place[ends]
+
+
+def distinct_words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each word among the distinct ones, and those as a binary array; compared byte by byte."""
+    sizes = ends - starts
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    if len(starts) and (starts[1:] == ends[:-1]).all():
+        data = body[starts[0] : ends[-1]]
+    else:
+        change = np.zeros(len(body) + 1, np.int8)
+        change[starts] += 1
+        change[ends] -= 1
+        data = body[np.cumsum(change[:-1], dtype=np.int8).astype(bool)]
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = packed.dictionary_encode()
+    return np.asarray(coded.indices, np.int64), coded.dictionary
+
+
+def laid_out(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists values[at[c]:at[c + 1]] for each code c, end to end, and the offsets of the codes in that."""
+    sizes = (at[1:] - at[:-1])[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(at[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])], ends
