@@ -28,6 +28,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def lower(body: np.ndarray) -> np.ndarray:
+    """Lower-cases A to Z and the accented capitals of Latin-1 in UTF-8."""
+    out = LOWER[body]
+    two = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
+    out[two] += 0x20
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,15 +111,26 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: n
 
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), np.uint64)
+    return prefix_hashes(body, starts, ends, ())[0]
+
+
+def prefix_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of each word, and of its first bytes for each of `sizes` (of all of it if it is shorter), by row."""
+    out = np.empty((1 + len(sizes), len(starts)), np.uint64)
     low = 0
     while low < len(starts):
         first = int(starts[low])
         high = max(low + 1, int(np.searchsorted(ends, first + PIECE_BYTES, "right")))
         last = int(ends[high - 1])
-        out[low:high] = spans_hash(_BYTE[body[first:last]], starts[low:high] - first, ends[low:high] - first, _MULT)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_BYTE[body[first:last]] * powers(_MULT, last - first), out=sums[1:])
+        begin = starts[low:high] - first
+        inverse = powers(_INVERSE[int(_MULT)], last - first + 1)[begin]
+        for row, size in enumerate((None, *sizes)):
+            end = ends[low:high] - first if size is None else np.minimum(ends[low:high] - first, begin + size)
+            out[row, low:high] = mixed((sums[end] - sums[begin]) * inverse ^ ((end - begin).astype(np.uint64) * _STEP))
         low = high
-    return mixed(out ^ ((ends - starts).astype(np.uint64) * _STEP))
+    return out
 
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
