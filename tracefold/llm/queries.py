@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, permutation, sharding, simhash, substring, tokenfile, toxicity
+from tracefold.llm import decontaminate, permutation, pieces, sharding, simhash, substring, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 _WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP5_SQL = f"""
@@ -100,5 +104,5 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op8_toxicity": op8_toxicity, "op9_nearest": op9_nearest, "op2_sharding": op2_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op8_toxicity": op8_toxicity, "op9_nearest": op9_nearest, "op10_sentencepiece": op10_sentencepiece, "op2_sharding": op2_sharding}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op2_sharding": OP2_SQL}
