@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, permutation, pieces, sharding, simhash, substring, tokenfile, toxicity
+from tracefold.llm import chat, decontaminate, licenses, permutation, pieces, sharding, simhash, substring, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,54 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations")).withColumnRenamed("dialogue", "conv_id")
+
+
+OP4_SQL = """
+WITH s AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') AS speaker, replace(coalesce(text, ''), '<|', '<\\|') AS x FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
+r AS (SELECT s.*, perspective, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
+  ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+t AS (SELECT *, head || x || '<|end|>' || chr(10) AS rendered, row_number() OVER w - 1 AS seq,
+  coalesce(sum(length(head || x) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, x))
+SELECT conv_id, perspective, seq, turn, speaker, rendered, start, CASE WHEN speaker = perspective THEN start + length(head) END AS mask_start,
+  CASE WHEN speaker = perspective THEN start + length(rendered) - 1 END AS mask_end FROM t
+"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark)).withColumnRenamed("key", "doc_id")
+
+
+def _license_form(column: str) -> str:
+    out = f"translate(coalesce({column}, ''), '{licenses.UPPER}{licenses.MARKS}', '{licenses.LOWER}{' ' * len(licenses.MARKS)}')"
+    out = f"regexp_replace({out}, '(^|\\n)[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
+    for spelling, plain in licenses.SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{plain}')"
+    return f"regexp_replace({out}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+
+
+def _license_digest(form: str) -> str:
+    return f"sha256(trim(regexp_replace({form}, '[ \\n]+', ' ', 'g')))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP7_SQL = f"""
+WITH known AS (SELECT DISTINCT name, {_license_digest(_license_form("t"))} AS digest FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) v(name, t)),
+named AS (SELECT digest, string_agg(DISTINCT name, ',' ORDER BY name) AS license FROM known GROUP BY digest),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_license_form("text")} AS form FROM documents),
+l AS (SELECT row, sha256(trim(unnest(string_split(form, chr(10))))) AS digest FROM d),
+n AS (SELECT row, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM l JOIN known USING (digest) GROUP BY row),
+w AS (SELECT row, doc_id, {_license_digest("form")} AS digest FROM d)
+SELECT doc_id, digest, license, notices FROM w LEFT JOIN named USING (digest) LEFT JOIN n USING (row)
+"""
+
+
 _WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP5_SQL = f"""
@@ -104,5 +152,5 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op8_toxicity": op8_toxicity, "op9_nearest": op9_nearest, "op10_sentencepiece": op10_sentencepiece, "op2_sharding": op2_sharding}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op2_sharding": OP2_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op4_chat_rotation": op4_chat_rotation, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_nearest": op9_nearest, "op10_sentencepiece": op10_sentencepiece, "op2_sharding": op2_sharding}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op2_sharding": OP2_SQL}
