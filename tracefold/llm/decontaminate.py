@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
+from tracefold.llm.columns import carried
 from tracefold.llm.fmindex import FMIndex
 
 #: Bytes of benchmark text in one broadcast, and of training text in one index.
@@ -113,7 +114,7 @@ def mark(df: DataFrame, benchmark: DataFrame, *, window: int = 10, key: str = "d
     the last, with the white space after it. `carry` names columns to return as they are.
     """
     told = _broadcasts(benchmark, item, item_text, window)
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    source, kinds, kept = carried(df, key, text, carry)
 
     def shard(column: pa.Array) -> dict[str, pa.Array]:
         body, starts, ends, firsts = _words(column)
@@ -147,7 +148,7 @@ def mark(df: DataFrame, benchmark: DataFrame, *, window: int = 10, key: str = "d
             "spans": spans,
         }
         if clean:
-            found["clean"] = _cut(column, body, starts, ends, low, high, by_doc)
+            found["clean"] = tb.cut(column, starts[low], ends[high - 1], by_doc)
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,26 +157,7 @@ def mark(df: DataFrame, benchmark: DataFrame, *, window: int = 10, key: str = "d
             for low, high in tb.pieces(offsets, SHARD_BYTES):
                 part = batch.slice(low, high - low)
                 found = shard(part.column(1))
-                kept = {name: part.column(k) for k, name in enumerate(part.schema.names) if k != 1}
-                yield pa.RecordBatch.from_pydict(kept | found)
+                yield pa.RecordBatch.from_pydict(kept(part) | found)
 
-    kinds = dict(source.dtypes)
-    carried = "".join(f", `carry_{c}` {kinds[f'carry_{c}']}" for c in carry)
-    schema = f"id {kinds['id']}{carried}, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start: bigint, end: bigint>>" + ", clean string" * clean
+    schema = f"{kinds}, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start: bigint, end: bigint>>" + ", clean string" * clean
     return source.mapInArrow(run, schema)
-
-
-def _cut(column: pa.Array, body: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, by_doc: np.ndarray) -> pa.Array:
-    """Each text without its spans; rows without spans as they are."""
-    out: list[str | None] = column.to_pylist()
-    data = body.tobytes()
-    _, offsets = tb.flat(column)
-    for d in np.flatnonzero(np.diff(by_doc)).tolist():
-        at, parts = int(offsets[d]), []
-        for k in range(by_doc[d], by_doc[d + 1]):
-            parts.append(data[at : starts[low[k]]])
-            at = int(ends[high[k] - 1])
-            while at < offsets[d + 1] and not tb.NOT_SPACE[body[at]]:
-                at += 1
-        out[d] = b"".join([*parts, data[at : offsets[d + 1]]]).decode()
-    return pa.array(out, pa.string())

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
+from tracefold.llm.columns import carried
 
 SPACE = "▁"
 #: Stretches whose ids a worker keeps, and pairs of pieces.
@@ -241,7 +242,7 @@ def batches(path: str) -> Batches:
 
 def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row: id, ids, n_ids, restored (whether decoding gave the text's bytes back)."""
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    source, kinds, kept = carried(df, key, text, carry)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batches(path)
@@ -251,12 +252,9 @@ def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
                 part = batch.slice(low, high - low)
                 ids, at = own.encode(part.column(1))
                 same = pc.equal(own.decode(ids, at), pc.fill_null(part.column(1), "").cast(pa.binary()))
-                kept = {name: part.column(k) for k, name in enumerate(part.schema.names) if k != 1}
-                yield pa.RecordBatch.from_pydict(kept | {"ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), "n_ids": pa.array(np.diff(at)), "restored": same})
+                yield pa.RecordBatch.from_pydict(kept(part) | {"ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), "n_ids": pa.array(np.diff(at)), "restored": same})
 
-    kinds = dict(source.dtypes)
-    carried = "".join(f", `carry_{c}` {kinds[f'carry_{c}']}" for c in carry)
-    return source.mapInArrow(run, f"id {kinds['id']}{carried}, ids array<int>, n_ids long, restored boolean")
+    return source.mapInArrow(run, f"{kinds}, ids array<int>, n_ids long, restored boolean")
 
 
 def decode(df: DataFrame, path: str, *, key: str = "id", ids: str = "ids") -> DataFrame:

@@ -38,7 +38,6 @@ from tracefold.llm.graph import checkpointed, components
 SEED = 42
 #: References beside the structured ones.
 PIVOTS = 12
-_REFERENCES = tb.mixed(np.arange(1, PIVOTS + 1, dtype=np.uint64) << np.uint64(20))
 #: Rows of one key in a bucket before the search takes the place of direct comparison.
 RUN = 64
 #: (key, fingerprint) rows in one bucket.
@@ -62,8 +61,8 @@ def shingle_hashes(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return np.array(hashes, np.uint64), at
 
 
-def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each text the bits that are set in over half of its hashes."""
+def majority(hashes: np.ndarray, at: np.ndarray, ties: np.ndarray | None = None) -> np.ndarray:
+    """For each text the bits that are set in over half of its hashes; at just half, those of its number in `ties`."""
     counts = np.diff(at)
     runs = -(-counts // 255)
     ends = np.cumsum(runs)
@@ -75,7 +74,10 @@ def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.stack([np.add.reduceat(_LANES[parts[:, k]], heads) for k in range(8)], axis=1).astype("<u8").view(np.uint8).reshape(-1, 64)
     full = np.flatnonzero(runs)
     bits = np.zeros((len(counts), 64), bool)
-    bits[full] = 2 * np.add.reduceat(sums.astype(np.int64), run_at[full], axis=0) > counts[full][:, None]
+    twice, half = 2 * np.add.reduceat(sums.astype(np.int64), run_at[full], axis=0), counts[full][:, None]
+    bits[full] = twice > half
+    if ties is not None:
+        bits[full] |= (twice == half) & np.unpackbits(ties[full].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
@@ -108,15 +110,20 @@ def masks(groups: int, distance: int) -> list[int]:
     return [sum(bits[g] for g in kept) for kept in combinations(range(groups), groups - distance)]
 
 
-def _close(table: np.ndarray, fps: np.ndarray, one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
+def _close(table: list[np.ndarray], fps: np.ndarray, one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
     """Of pairs, by places, those that no pivot discards and that are within the distance."""
     at = np.arange(len(one))
     for column in table:
         at = at[np.abs(column[one[at]] - column[other[at]]) <= distance]
-    return at[np.bitwise_count(fps[one[at]] ^ fps[other[at]]) <= distance]
+    return at[apart(fps[one[at]], fps[other[at]]) <= distance]
 
 
-def _search(table: np.ndarray, fps: np.ndarray, low: int, high: int, distance: int) -> list[tuple[int, int]]:
+def apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, which are rows of words."""
+    return np.bitwise_count(one ^ other).sum(-1, dtype=np.int16)
+
+
+def _search(table: list[np.ndarray], fps: np.ndarray, low: int, high: int, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among fps[low:high]."""
     left, edges = np.arange(low, high), []
     while len(left):
@@ -131,11 +138,12 @@ def _search(table: np.ndarray, fps: np.ndarray, low: int, high: int, distance: i
     return edges
 
 
-def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints that share a key and are near; a spanning forest of them where a key has many."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    table = [np.bitwise_count(fps ^ r).astype(np.int8) for r in _REFERENCES]
+def links_within(keys: np.ndarray, fps: np.ndarray, distance: int, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of fingerprints (rows of words) that share a key and are near; a spanning forest where a key has many."""
+    order = np.lexsort((fps[:, 0], keys))
+    keys, fps = keys[order], np.ascontiguousarray(fps[order])
+    references = tb.mixed(np.arange(1, pivots * fps.shape[1] + 1, dtype=np.uint64) << np.uint64(20)).reshape(pivots, -1)
+    table = [apart(fps, r) for r in references]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(first)
@@ -153,7 +161,7 @@ def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
         a.append(np.array([x for x, _ in found], np.int64))
         b.append(np.array([y for _, y in found], np.int64))
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return fps[a], fps[b]
+    return order[a], order[b]
 
 
 def links(kinds: DataFrame, distance: int, count: int) -> DataFrame:
@@ -166,8 +174,8 @@ def links(kinds: DataFrame, distance: int, count: int) -> DataFrame:
 
     def near(table: pa.Table) -> pa.Table:
         fps = np.asarray(table.column("fp").combine_chunks()).view(np.uint64)
-        a, b = links_within(np.asarray(table.column("key").combine_chunks()), fps, distance)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        a, b = links_within(np.asarray(table.column("key").combine_chunks()), fps[:, None], distance)
+        return pa.table({"a": pa.array(fps[a].view(np.int64)), "b": pa.array(fps[b].view(np.int64))})
 
     return dealt.groupBy("bucket").applyInArrow(near, "a long, b long")
 
@@ -182,3 +190,86 @@ def near_copies(df: DataFrame, *, shingle: int = 4, distance: int = 4, key: str
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = placed.join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("id", "fp", "component_id")
+
+
+#: Words of a wide fingerprint, its keys, and the bits of a key. Two texts of similarity 0.8 (0.85, 0.9)
+#: share a key with odds of 0.97 (0.996, 0.9999).
+WORDS, KEYS, KEY_BITS = 4, 48, 16
+#: Bits beyond the expected difference that a link may have, in standard deviations.
+SLACK = 2.0
+_SALTS = np.concatenate([[np.uint64(0)], tb.mixed(np.arange(101, 100 + WORDS, dtype=np.uint64))])
+
+
+def reach(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Differing bits that texts whose shingle sets have this Jaccard similarity have at most, but for few."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_fingerprints(body: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """Rows of WORDS words: SimHashes over as many hashes of each shingle; the least shingle settles ties."""
+    hashes, at = shingle_hashes(body, offsets, shingle)
+    least, some = np.zeros(len(at) - 1, np.uint64), np.flatnonzero(np.diff(at))
+    if len(some):
+        least[some] = np.minimum.reduceat(hashes, at[some])
+    return np.stack([majority(tb.mixed(hashes ^ s), at, tb.mixed(least ^ s)) for s in _SALTS], axis=1)
+
+
+def _key_bits() -> list[np.ndarray]:
+    return [np.sort(np.random.default_rng(k).permutation(64 * WORDS)[:KEY_BITS]) for k in range(KEYS)]
+
+
+def wide_keys(fps: np.ndarray) -> np.ndarray:
+    """One row of keys for each table: the table's bits of the fingerprint, and the table."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    place = np.arange(KEY_BITS, dtype=np.uint64)
+    return np.stack([tb.mixed((bits[:, own].astype(np.uint64) << place).sum(1, dtype=np.uint64) << np.uint64(8) | np.uint64(k)) for k, own in enumerate(_key_bits())])
+
+
+def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df without near copies: of each group the row with the smallest id (then the smallest digest) stays.
+
+    Groups are the components of links between texts whose shingle sets have `similarity` or more, as
+    their SimHashes of 256 bits tell it: candidates share one of 48 keys of 16 bits, pivots discard
+    pairs as above, and those within `reach` bits are linked. Texts without words are one group. Rows
+    with a null id come after all others; of equal rows one stays. All columns of df are returned.
+    """
+    digest = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    source = df.select(F.col(key).cast("long").alias("id"), digest.alias("digest"), F.col(text).alias("text"))
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def prints(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            body, offsets = tb.flat(batch.column(2))
+            found = [wide_fingerprints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in tb.pieces(offsets, tb.PIECE_BYTES // 4)]
+            fps = np.concatenate(found) if found else np.zeros((0, WORDS), np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(fps[:, k].view(np.int64)) for k in range(WORDS))], names=["id", "digest", *names])
+
+    made = checkpointed(source.mapInArrow(prints, "id long, digest string, " + ", ".join(f"{n} long" for n in names)))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
+    kinds = made.groupBy(*names).agg(first).withColumn("node", F.xxhash64(*names))
+    buckets = max(8, -(-kinds.count() * KEYS // BUCKET_ROWS))
+
+    def deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            fps = np.stack([np.asarray(batch.column(1 + k)).view(np.uint64) for k in range(WORDS)], axis=1)
+            keys, row = wide_keys(fps).ravel(), np.tile(np.arange(len(fps)), KEYS)
+            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full, node = np.flatnonzero(np.diff(cuts)), np.asarray(batch.column(0))
+            own = [order[cuts[b] : cuts[b + 1]] for b in full]
+            yield pa.record_batch([pa.array(full.astype(np.int32)), *(pa.array([x[o].tobytes() if x is keys else x[row[o]].tobytes() for o in own], pa.binary()) for x in (keys, node, fps))], names=["bucket", "keys", "nodes", "fps"])
+
+    def near(table: pa.Table) -> pa.Table:
+        keys, node, fps = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("fps", np.uint64)))
+        a, b = links_within(keys, fps.reshape(-1, WORDS), reach(similarity), pivots=2)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    dealt = kinds.select("node", *names).mapInArrow(deal, "bucket int, keys binary, nodes binary, fps binary")
+    roots = components(dealt.groupBy("bucket").applyInArrow(near, "a long, b long")).withColumnRenamed("node", "n")
+    grouped = kinds.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    stay = grouped.select(F.col("first.id").alias("stay_id"), F.col("first.digest").alias("stay_digest"))
+    marked = df.withColumn("row_digest", digest)
+    found = marked.join(stay, F.col(key).cast("long").eqNullSafe(F.col("stay_id")) & (F.col("row_digest") == F.col("stay_digest")), "left_semi")
+    return found.dropDuplicates([key, "row_digest"]).select(*df.columns)

@@ -21,6 +21,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
+from tracefold.llm.columns import carried
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of text in a block, and bytes of text whose hashes fill a bucket.
@@ -174,15 +176,15 @@ def _earlier(key: tuple, table: pa.Table) -> pa.Table:
     return _replies(key[0].as_py(), 1, blocks, packet, bits)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256, and with `spans` the kept words and the removed word ranges.
+def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), spans: bool = False) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept_sha256; with `spans` also the removed word ranges and `clean`, the text without them.
 
     A word goes if it lies in a window of `length` words whose sequence also starts in a row with a
     smaller id. Kept words are joined by one space. `length` must be over 30.
     """
     if length < PERIOD:
         raise ValueError(f"length must be at least {PERIOD}")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows, kinds, own_columns = carried(df.withColumn(key, F.col(key).cast("long")), key, text, carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, buckets = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES)), max(16, -(-total // BUCKET_BYTES))
     docs = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
@@ -206,23 +208,28 @@ def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text
         cuts = np.searchsorted(kept, block.firsts)
         texts = [data[starts[kept[a]] : ends[kept[b - 1]]] if b > a else b"" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         found = {
-            "id": pa.array(block.ids, pa.int64(), mask=block.null),
+            **own_columns(table),
             "n_words": pa.array(np.diff(block.firsts), pa.int64()),
             "n_removed": pa.array(np.diff(total[block.firsts]), pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
         }
         if spans:
-            ranges = []
-            for a, b in zip(block.firsts[:-1].tolist(), block.firsts[1:].tolist()):
-                e = np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]]))
-                ranges.append([{"start": s, "end": t} for s, t in zip(np.flatnonzero(e > 0).tolist(), np.flatnonzero(e < 0).tolist())])
-            found["kept"] = pa.array(texts, pa.binary()).cast(pa.string())
-            found["removed"] = pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            head = gone.copy()
+            head[1:] &= ~gone[:-1] | (block.doc[1:] != block.doc[:-1])
+            tail = gone.copy()
+            tail[:-1] &= ~gone[1:] | (block.doc[1:] != block.doc[:-1])
+            low, high = np.flatnonzero(head), np.flatnonzero(tail) + 1
+            by_doc = np.searchsorted(low, block.firsts)
+            first = block.firsts[block.doc[low]]
+            ranges = pa.StructArray.from_arrays([pa.array(low - first, pa.int64()), pa.array(high - first, pa.int64())], ["start", "end"])
+            found["removed"] = pa.ListArray.from_arrays(pa.array(by_doc.astype(np.int32)), ranges)
+            whole = table.column("text").combine_chunks()
+            found["clean"] = tb.cut(whole, block.starts[low], block.ends[high - 1], by_doc)
         return pa.table(found)
 
     by_block = docs.groupBy("block")
     asked = by_block.applyInArrow(anchors, _PACKET).groupBy("bucket").applyInArrow(_shared, _REPLY)
     held = by_block.cogroup(asked.groupBy("block")).applyInArrow(windows, _PACKET)
     told = held.groupBy("bucket").applyInArrow(_earlier, _REPLY)
-    more = ", kept string, removed array<struct<start: bigint, end: bigint>>" if spans else ""
-    return by_block.cogroup(asked.unionAll(told).groupBy("block")).applyInArrow(results, f"id long, n_words long, n_removed long, kept_sha256 string{more}")
+    more = ", removed array<struct<start: bigint, end: bigint>>, clean string" if spans else ""
+    return by_block.cogroup(asked.unionAll(told).groupBy("block")).applyInArrow(results, f"{kinds}, n_words long, n_removed long, kept_sha256 string{more}")

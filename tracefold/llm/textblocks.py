@@ -183,3 +183,19 @@ def laid_out(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.
     sizes = (at[1:] - at[:-1])[codes]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     return values[np.repeat(at[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+def cut(column: pa.Array, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Each text without the byte ranges that are its own (offsets `rows` among them), and the white space after each."""
+    out: list[str | None] = column.to_pylist()
+    body, offsets = flat(column)
+    data = body.tobytes()
+    for row in np.flatnonzero(np.diff(rows)).tolist():
+        at, last, parts = int(offsets[row]), int(offsets[row + 1]), []
+        for k in range(rows[row], rows[row + 1]):
+            parts.append(data[at : starts[k]])
+            at = int(ends[k])
+            while at < last and not NOT_SPACE[body[at]]:
+                at += 1
+        out[row] = b"".join([*parts, data[at:last]]).decode()
+    return pa.array(out, pa.string())
