@@ -196,7 +196,7 @@ def near_copies(df: DataFrame, *, shingle: int = 4, distance: int = 4, key: str
 #: share a key with odds of 0.97 (0.996, 0.9999).
 WORDS, KEYS, KEY_BITS = 4, 48, 16
 #: Bits beyond the expected difference that a link may have, in standard deviations.
-SLACK = 2.0
+SLACK = 1.5
 _SALTS = np.concatenate([[np.uint64(0)], tb.mixed(np.arange(101, 100 + WORDS, dtype=np.uint64))])
 
 
@@ -207,8 +207,13 @@ def reach(similarity: float, bits: int = 64 * WORDS) -> int:
 
 
 def wide_fingerprints(body: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Rows of WORDS words: SimHashes over as many hashes of each shingle; the least shingle settles ties."""
+    """Rows of WORDS words: SimHashes over as many hashes of each distinct shingle; the least one settles ties."""
     hashes, at = shingle_hashes(body, offsets, shingle)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((hashes, doc))
+    hashes, new = hashes[order], np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, at = hashes[new], np.concatenate([[0], np.cumsum(new)])[at]
     least, some = np.zeros(len(at) - 1, np.uint64), np.flatnonzero(np.diff(at))
     if len(some):
         least[some] = np.minimum.reduceat(hashes, at[some])
