@@ -12,8 +12,8 @@ Parquet table, so that Spark's committers and any store it knows hold them; besi
 table of ids by rank.
 
 Keys are written in ascending order over the whole table: rows are dealt by ranges of the key (and a
-digest, which splits a key that many rows share) and sorted. Texts are read twice, once to count
-tokens and once to encode; what is shuffled is the coded ids.
+digest, which splits a key that many rows share) and sorted. Texts are tokenised once; their plain
+ids are kept in a written table while ranks are counted.
 
 Defined cases: null and empty texts have the end id alone; a null key comes first and is returned as
 null; rows of one key are in order of a digest of their ids; an empty table writes no segment and
@@ -39,43 +39,116 @@ from tracefold.llm import textblocks as tb
 from tracefold.llm.graph import shared_folder
 
 MAGIC = b"TKF1"
-#: Bytes of coded ids in a segment, and in a range of keys.
-SEGMENT_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a segment, and in a range of keys.
+SEGMENT_TEXT, RANGE_BYTES = 8 << 20, 16 << 20
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 #: White space that no token of a word tokenizer reaches across.
 _BREAKS = tb.byte_class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
 #: The four lengths that a control byte tells.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: Kinds of bytes: other, letters (every byte of a Latin-1 letter in UTF-8 too), digits.
+_KIND = np.zeros(256, np.int8)
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
+_KIND[0x30:0x3A] = 2
+#: Units that are encoded as one line.
+LINE_UNITS = 500
 _LOWEST_KEY = np.iinfo(np.int64).min
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer file and the ids of units that were encoded before.
 
-    return Tokenizer.from_file(path), {}
+    Units are what the tokenizer splits texts into where that can be told from bytes: in stretches of
+    ASCII and Latin-1 letters without apostrophes, the runs of letters, the single digits, and the runs
+    of other characters. Any other stretch between white space is a unit, and is encoded as it stands.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.word_end[i] = piece.endswith("</w>")
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and each text's offsets; the same as encoding each whole text."""
+        body, offsets = tb.flat(column)
+        body, starts, ends = units(body, offsets)
+        codes, distinct = tb.distinct_words(body, starts, ends)
+        odd = odd_bytes(*tb.flat(distinct))
+        names, known = distinct.to_pylist(), self.known
+        new = [k for k, w in enumerate(names) if w not in known]
+        fresh = self._plain([names[k] for k in new if not odd[k]]) | self._single([names[k] for k in new if odd[k]])
+        coded = [fresh[w] if w in fresh else known[w] for w in names]
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+        at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)])
+        ids, word_at = tb.laid_out(np.frombuffer(b"".join(coded), np.uint32), at, codes)
+        return ids, word_at[np.searchsorted(starts, offsets)]
+
+    def _single(self, names: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)
+        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(names, found)}
+
+    def _plain(self, names: list[bytes]) -> dict[bytes, bytes]:
+        """Units that the tokenizer keeps whole, a line of them at a time; word ends part the ids again."""
+        out: dict[bytes, bytes] = {}
+        lines = [names[k : k + LINE_UNITS] for k in range(0, len(names), LINE_UNITS)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(line) or ends[-1] != len(ids):
+                out |= self._single(line)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out |= {w: data[a:b] for w, a, b in zip(line, at, at[1:])}
+        return out
+
+
+def _odd(body: np.ndarray) -> np.ndarray:
+    """Bytes whose stretch isn't split by bytes: all but printable ASCII and Latin-1 letters, and ' and <."""
+    odd = (body >= 0x80) | (body == 0x27) | (body == 0x3C) | (body < 0x20) | (body == 0x7F)
+    odd[(body >= 0x09) & (body <= 0x0A) | (body == 0x0D)] = False
+    lead = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] != 0x97) & (body[1:] != 0xB7))
+    odd[lead] = odd[lead + 1] = False
+    return odd
+
+
+def odd_bytes(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row has an odd byte."""
+    return np.diff(np.concatenate([[0], np.cumsum(_odd(body))])[offsets]) > 0
+
+
+def units(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, lower-cased where they are split by bytes, and the starts and ends of the units."""
+    starts, ends, _ = tb.words(body, offsets, _BREAKS)
+    seen = np.concatenate([[0], np.cumsum(_odd(body), dtype=np.int32)])
+    odd = seen[ends] > seen[starts]
+    kind = _KIND[body]
+    begin = np.zeros(len(body) + 1, bool)
+    begin[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    inside = np.zeros(len(body) + 1, np.int8)
+    inside[starts[~odd]] += 1
+    inside[ends[~odd]] -= 1
+    begin[:-1] &= np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    begin[starts] = True
+    first = np.flatnonzero(begin[:-1])
+    # a unit ends where the next begins, or with its stretch
+    last = np.minimum(np.append(first[1:], len(body)), ends[np.searchsorted(starts, first, "right") - 1]) if len(first) else first
+    out = tb.lower(body)
+    for a, b in zip(starts[odd].tolist(), ends[odd].tolist()):
+        out[a:b] = body[a:b]
+    return out, first, last
 
-def encode_texts(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end and each text's offsets; the same as encoding each whole text.
 
-    The tokenizer drops white space and no token reaches across it, so the words between are encoded
-    once each and laid out again.
-    """
-    tokenizer, known = _tokenizer(path)
-    body, offsets = tb.flat(column)
-    starts, ends, firsts = tb.words(body, offsets, _BREAKS)
-    codes, distinct = tb.distinct_words(body, starts, ends)
-    names = distinct.to_pylist()
-    new = [w for w in names if w not in known]
-    fresh = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
-    coded = [fresh[w] if w in fresh else known[w] for w in names]
-    if len(known) < CACHE_WORDS:
-        known.update(fresh)
-    at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)])
-    ids, word_at = tb.laid_out(np.frombuffer(b"".join(coded), np.uint32), at, codes)
-    return ids, word_at[firsts]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each tokenizer file in a worker."""
+    return Encoder(path)
 
 
 def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +156,16 @@ def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return np.insert(ids, at[1:], end), at + np.arange(len(at))
 
 
-def pack(ranks: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
-    """Control bytes and data bytes of documents, with each document's offsets in both."""
+def pack(ranks: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of documents with the offsets `at`."""
     ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks > 0xFF) + (ranks > 0xFFFF).astype(np.int64) + (ranks > 0xFFFFFF)
+    sizes = 1 + (ranks > 0xFF).astype(np.int8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
-    data_at = np.concatenate([[0], np.cumsum(sizes)])[at]
     counts = np.diff(at)
     control_at = np.concatenate([[0], np.cumsum(-(-counts // 4))])
     two = np.zeros(4 * int(control_at[-1]), np.uint8)
     two[np.repeat(4 * control_at[:-1] - at[:-1], counts) + np.arange(len(ranks))] = sizes - 1
-    control = (two.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), control_at, data.tobytes(), data_at
+    return (two.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +182,9 @@ def unpack(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> tuple[n
     return ranks, at
 
 
-def segment(keys: list[int], counts: list[int], controls: list[bytes], datas: list[bytes]) -> bytes:
+def segment(keys: bytes, counts: bytes, control: bytes, data: bytes) -> bytes:
     """The bytes of a segment."""
-    control, data = b"".join(controls), b"".join(datas)
-    head = MAGIC + struct.pack("<qqq", len(keys), len(control), len(data))
-    return head + np.array(keys, "<i8").tobytes() + np.array(counts, "<i8").tobytes() + control + data
+    return MAGIC + struct.pack("<qqq", len(keys) // 8, len(control), len(data)) + keys + counts + control + data
 
 
 def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,74 +200,69 @@ def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, ranks, at
 
 
-def rank_table(df: DataFrame, path: str, end: int, *, text: str = "text") -> np.ndarray:
-    """Ids by falling corpus frequency; only the vocabulary's counts reach the driver."""
+def rank_table(tokens: DataFrame, size: int) -> np.ndarray:
+    """Ids below `size` by falling frequency in the column `ids`; only the vocabulary's counts reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(end + 1, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            _, offsets = tb.flat(batch.column(0))
-            for low, high in tb.pieces(offsets):
-                ids, _ = encode_texts(path, batch.column(0).slice(low, high - low))
-                own = np.bincount(ids, minlength=len(total))
-                own[: len(total)] += total
-                own[end] += high - low
-                total = own
+            for image in batch.column(0):
+                total += np.bincount(np.frombuffer(image.as_buffer(), _width(size)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    found = df.select(text).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = np.asarray(found.column("id")), np.asarray(found.column("n"))
     return ids[np.lexsort((ids, -n))].astype(np.int64)
 
 
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id", text: str = "text") -> None:
-    """Writes folder/segments (part, before, tokens, image) and folder/ranks (rank, id)."""
+    """Writes folder/segments (part, before, tokens, image) and folder/ranks (rank, id).
+
+    Texts are sorted, tokenised once and written as plain ids to folder/plain; ranks are counted there,
+    and each run of plain ids becomes a segment in place. The plain ids are deleted at the end.
+    """
     spark = df.sparkSession
-    table = rank_table(df, path, end, text=text)
-    spark.createDataFrame(pa.table({"rank": np.arange(len(table)), "id": table})).write.parquet(f"{folder}/ranks")
-    rank = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
-    rank[table] = np.arange(len(table))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("digest", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    placed = rows.repartitionByRange(max(4, -(-total // RANGE_BYTES)), "key", "digest").sortWithinPartitions("key", "digest", "text")
+    size = max(end + 1, len(Encoder(path).word_end))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = tb.flat(batch.column(1))
-            for low, high in tb.pieces(offsets):
-                ids, at = with_end(*encode_texts(path, batch.column(1).slice(low, high - low)), end)
-                control, control_at, data, data_at = pack(rank[ids], at)
-                controls = [control[a:b] for a, b in zip(control_at[:-1].tolist(), control_at[1:].tolist())]
-                datas = [data[a:b] for a, b in zip(data_at[:-1].tolist(), data_at[1:].tolist())]
-                digest = pa.array([zlib.crc32(d) for d in datas], pa.int64())
-                yield pa.record_batch([batch.column(0).slice(low, high - low), digest, pa.array(np.diff(at)), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], names=["key", "digest", "n", "control", "data"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size, before
-            keys, counts, controls, datas = zip(*held)
-            image, tokens = segment(keys, counts, controls, datas), sum(counts)
-            out = pa.record_batch([pa.array([part]), pa.array([before]), pa.array([tokens]), pa.array([image], pa.binary())], names=["part", "before", "tokens", "image"])
-            held, size, before = [], 0, before + tokens
-            return out
+            for low, high in tb.pieces(offsets, SEGMENT_TEXT):
+                ids, at = with_end(*encoder(path).encode(batch.column(1).slice(low, high - low)), end)
+                keys = np.asarray(batch.column(0).slice(low, high - low).fill_null(_LOWEST_KEY), "<i8")
+                made = {"part": part, "before": before, "tokens": len(ids), "keys": keys.tobytes(), "counts": np.diff(at).astype("<i8").tobytes(), "ids": ids.astype(_width(size)).tobytes()}
+                yield pa.RecordBatch.from_pylist([made])
+                before += len(ids)
+
+    plain = "part long, before long, tokens long, keys binary, counts binary, ids binary"
+    placed.select("key", "text").mapInArrow(tokenise, plain).write.option("compression", "zstd").parquet(f"{folder}/plain")
+    tokens = spark.read.schema(plain).parquet(f"{folder}/plain")
+    table = rank_table(tokens, size)
+    spark.createDataFrame(pa.table({"rank": np.arange(len(table)), "id": table})).write.parquet(f"{folder}/ranks")
+    rank = np.zeros(size, np.uint32)
+    rank[table] = np.arange(len(table))
 
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in (0, 2, 3, 4)]
-            for row in zip([_LOWEST_KEY if k is None else k for k in cols[0]], *cols[1:]):
-                held.append(row)
-                size += len(row[2]) + len(row[3])
-                if size >= SEGMENT_BYTES:
-                    yield flush()
-        if held:
-            yield flush()
-
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    coded = rows.mapInArrow(encode, "key long, digest long, n long, control binary, data binary")
-    placed = coded.repartitionByRange(max(4, -(-total // RANGE_BYTES)), "key", "digest").sortWithinPartitions("key", "digest", "n", "data")
-    placed.mapInArrow(gather, "part long, before long, tokens long, image binary").write.parquet(f"{folder}/segments")
+            for row in range(batch.num_rows):
+                part, before, n, keys, counts, ids = (batch.column(k)[row].as_py() for k in range(6))
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i8"))])
+                image = segment(keys, counts, *pack(rank[np.frombuffer(ids, _width(size))], at))
+                yield pa.RecordBatch.from_pylist([{"part": part, "before": before, "tokens": n, "image": image}])
+
+    tokens.mapInArrow(pack_rows, "part long, before long, tokens long, image binary").write.parquet(f"{folder}/segments")
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/plain")
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def read(spark: SparkSession, folder: str, *, ids: bool = False) -> DataFrame:
