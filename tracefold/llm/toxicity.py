@@ -26,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
+from tracefold.llm.columns import carried
 from tracefold.llm.crf import Chains, Model, marginal_log_odds
 
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 16 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 BITS = 18
 #: Runs of letters (any byte beyond ASCII counts as one), and what ends a sentence.
@@ -51,7 +52,7 @@ class Tokens:
         low = tb.lower(self.body)
         self.starts, self.ends, self.firsts = tb.words(low, self.offsets, LETTERS)
         salts = tb.mixed(np.arange(1, len(PREFIXES) + 2, dtype=np.uint64))[:, None]
-        self.features = (tb.mixed(tb.prefix_hashes(low, self.starts, self.ends, PREFIXES) ^ salts) >> np.uint64(64 - BITS)).astype(np.int64)
+        self.features = (tb.mixed(tb.prefix_hashes(low, self.starts, self.ends, PREFIXES) ^ salts) >> np.uint64(64 - BITS)).astype(np.int32)
         stops = np.concatenate([[0], np.cumsum(_STOPS[self.body], dtype=np.int32)])
         self.first = np.ones(len(self.starts), bool)
         self.first[1:] = stops[self.starts[1:]] > stops[self.ends[:-1]]
@@ -68,9 +69,10 @@ def picked_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     toxic texts that have none so far, whole words before their prefixes.
     """
     kinds = len(tokens.features)
-    names = (tokens.features * kinds + np.arange(kinds)[:, None]).ravel()
-    pairs = np.unique(np.tile(tokens.doc, kinds) * (kinds << BITS) + names)
-    doc, name = pairs // (kinds << BITS), pairs % (kinds << BITS)
+    pairs = [np.unique(tokens.doc << BITS | row) for row in tokens.features]
+    doc = np.concatenate([p >> BITS for p in pairs])
+    name = np.concatenate([(p & (1 << BITS) - 1) * kinds + k for k, p in enumerate(pairs)])
+    del pairs
     some = np.flatnonzero(np.diff(tokens.firsts))
     least = np.full(len(toxic), -1, np.int64)
     least[some] = np.minimum.reduceat(tokens.features[0], tokens.firsts[some])
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 def score(df: DataFrame, scorer: Scorer, *, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row: id, score, spans (character ranges of toxic words, the end not included)."""
     told = df.sparkSession.sparkContext.broadcast(scorer)  # 2 ** BITS weights
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    source, kinds, kept = carried(df, key, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Scorer = told.value
@@ -201,9 +203,6 @@ def score(df: DataFrame, scorer: Scorer, *, key: str = "doc_id", text: str = "te
                 base = chars[tokens.offsets[tokens.doc[hit]]]
                 spans = pa.StructArray.from_arrays([pa.array(chars[tokens.starts[hit]] - base, pa.int64()), pa.array(chars[tokens.ends[hit]] - base, pa.int64())], ["start", "end"])
                 at = np.searchsorted(hit, tokens.firsts).astype(np.int32)
-                kept = {name: part.column(k) for k, name in enumerate(part.schema.names) if k != 1}
-                yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(own.score(evidence)), "spans": pa.ListArray.from_arrays(pa.array(at), spans)})
+                yield pa.RecordBatch.from_pydict(kept(part) | {"score": pa.array(own.score(evidence)), "spans": pa.ListArray.from_arrays(pa.array(at), spans)})
 
-    kinds = dict(source.dtypes)
-    carried = "".join(f", `carry_{c}` {kinds[f'carry_{c}']}" for c in carry)
-    return source.mapInArrow(run, f"id {kinds['id']}{carried}, score double, spans array<struct<start: bigint, end: bigint>>")
+    return source.mapInArrow(run, f"{kinds}, score double, spans array<struct<start: bigint, end: bigint>>")
