@@ -9,8 +9,10 @@ compared by hash, and a word goes if such a window also starts in a document wit
 Documents are dealt into blocks of bounded size by id and text. A block sends each distinct anchor
 (or window) once, packed by hash bucket, and gets a bit for each in return; a hash that a third of all
 documents hold is therefore one entry a block. Nothing is collected to the driver but the byte count.
-Text is shuffled once and tokenised in three passes. Hashes have 64 bits; with 10**9 windows around
-shared anchors an accidental match of any two has odds of about 1 in 40.
+Text is shuffled once and tokenised in three passes. A hash has 64 bits, and its bucket comes from an
+independent one, so that hashes meet in the same bucket only: as buckets grow with the input, so do
+the bits that tell windows apart. With 10**13 windows and 10**7 buckets, less than one accidental match
+of any two is expected.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; texts shorter
 than `length` words lose nothing; a null id is larger than every other and is never an earlier copy
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,24 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 LEAST_BLOCKS = 48
 NULL_ID = np.iinfo(np.int64).max
+#: Makes the hashes that tell buckets.
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 _PACKET = "block int, bucket int, plain binary, owners binary"
 _REPLY = "block int, bucket int, kind int, bits binary"
 
 
+class _Kinds(NamedTuple):
+    """Distinct windows by bucket and hash: where each occurrence is and its kind; of each kind the least and largest id."""
+
+    at: np.ndarray
+    hashes: np.ndarray
+    cuts: np.ndarray  # of the buckets among the hashes
+    kind: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+
 class _Block:
     """The words of one block of documents, in numpy arrays, by position."""
 
@@ -57,31 +73,32 @@ class _Block:
         self.left = np.repeat(self.firsts[1:], counts) - np.arange(len(self.doc))  # words from here to the text's end
         self.place = np.arange(len(self.doc)) - np.repeat(self.firsts[:-1], counts)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self) -> _Kinds:
+        """Anchors at all cover positions."""
         size = self.length - PERIOD + 1
         at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[self.place % PERIOD] & (self.left >= size))
-        return at, tb.window_hashes(self.hashes, at, size)
-
-    def kinds(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes by bucket and value, the kind of each occurrence, and the least and largest id of each kind."""
-        order = np.lexsort((hashes, self.bucket(hashes)))
-        ranked = hashes[order]
+        return self.kinds(at, size)
+
+    def kinds(self, at: np.ndarray, size: int) -> _Kinds:
+        """The distinct windows of `size` words that begin at some positions."""
+        hashes = tb.window_hashes(self.hashes, at, size)
+        bucket = (tb.window_hashes(tb.mixed(self.hashes ^ _OTHER), at, size) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.lexsort((hashes, bucket))
+        ranked, dealt = hashes[order], bucket[order]
         first = np.ones(len(ranked), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
+        first[1:] = (ranked[1:] != ranked[:-1]) | (dealt[1:] != dealt[:-1])
         kind = np.empty(len(ranked), np.int64)
         kind[order] = np.cumsum(first) - 1
         heads, ids = np.flatnonzero(first), self.ids[self.doc[at]][order]
         least = np.minimum.reduceat(ids, heads) if len(heads) else ids
         most = np.maximum.reduceat(ids, heads) if len(heads) else ids
-        return ranked[heads], kind, least, most
-
-    def bucket(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
+        return _Kinds(at, ranked[heads], np.searchsorted(dealt[heads], np.arange(self.buckets + 1)), kind, least, most)
 
-    def packets(self, block: int, hashes: np.ndarray, owners: np.ndarray) -> pa.Table:
-        """Rows of a bucket's hashes, which are in order of their buckets."""
-        buckets = self.bucket(hashes)
-        cuts = np.searchsorted(buckets, np.arange(self.buckets + 1))
+    @staticmethod
+    def packets(block: int, found: _Kinds, owned: bool) -> pa.Table:
+        """One row for each bucket: its hashes, and with `owned` the least id of each."""
+        cuts, hashes = found.cuts, found.hashes
+        owners = found.least if owned else found.least[:0]
         full = np.flatnonzero(np.diff(cuts))
         return pa.table(
             {
@@ -92,35 +109,34 @@ class _Block:
             }
         )
 
-    def answers(self, replies: pa.Table, kind: int, hashes: np.ndarray) -> np.ndarray:
-        """The bit that came back for each distinct hash; no reply from a bucket means no bit set."""
-        out = np.zeros(len(hashes), bool)
-        cuts = np.searchsorted(self.bucket(hashes), np.arange(self.buckets + 1))
+    @staticmethod
+    def answers(replies: pa.Table, kind: int, found: _Kinds) -> np.ndarray:
+        """The bit that came back for each distinct window; no reply from a bucket means no bit set."""
+        out = np.zeros(len(found.hashes), bool)
         for row in replies.to_pylist():
             if row["kind"] == kind:
-                low, high = cuts[row["bucket"]], cuts[row["bucket"] + 1]
+                low, high = found.cuts[row["bucket"]], found.cuts[row["bucket"] + 1]
                 out[low:high] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=high - low)
         return out
 
     def candidates(self, replies: pa.Table) -> np.ndarray:
         """Starts of the windows that hold an anchor which occurs in two documents."""
-        at, hashes = self.anchors()
-        distinct, kind, least, most = self.kinds(at, hashes)
-        shared = self.answers(replies, 0, distinct) | (least != most)
-        p = at[shared[kind]]
+        found = self.anchors()
+        shared = self.answers(replies, 0, found) | (found.least != found.most)
+        p = found.at[shared[found.kind]]
         change = np.zeros(len(self.doc) + 1, np.int32)
         np.add.at(change, np.maximum(p - (PERIOD - 1), self.firsts[self.doc[p]]), 1)
         np.add.at(change, p + 1, -1)
         return np.flatnonzero((np.cumsum(change[:-1]) > 0) & (self.left >= self.length))
 
-    def windows(self, replies: pa.Table) -> tuple[np.ndarray, tuple]:
-        at = self.candidates(replies)
-        return at, self.kinds(at, tb.window_hashes(self.hashes, at, self.length))
+    def windows(self, replies: pa.Table) -> _Kinds:
+        """Whole windows around shared anchors."""
+        return self.kinds(self.candidates(replies), self.length)
 
     def removed(self, replies: pa.Table) -> np.ndarray:
         """For each word, whether a window over it also starts in a document with a smaller id."""
-        at, (distinct, kind, least, _) = self.windows(replies)
-        gone = at[(self.ids[self.doc[at]] > least[kind]) | self.answers(replies, 1, distinct)[kind]] if len(at) else at
+        found = self.windows(replies)
+        gone = found.at[(self.ids[self.doc[found.at]] > found.least[found.kind]) | self.answers(replies, 1, found)[found.kind]]
         change = np.zeros(len(self.doc) + 1, np.int32)
         np.add.at(change, gone, 1)
         np.add.at(change, gone + self.length, -1)
@@ -191,13 +207,11 @@ def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         block = _Block(table, length, buckets)
-        distinct = block.kinds(*block.anchors())[0]
-        return block.packets(key[0].as_py(), distinct, np.zeros((len(distinct), 0), np.uint8))
+        return block.packets(key[0].as_py(), block.anchors(), owned=False)
 
     def windows(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table, length, buckets)
-        _, (distinct, _, least, _) = block.windows(replies)
-        return block.packets((key[0]).as_py(), distinct, least.astype(np.int64).view(np.uint8).reshape(-1, 8))
+        return block.packets(key[0].as_py(), block.windows(replies), owned=True)
 
     def results(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table, length, buckets)
