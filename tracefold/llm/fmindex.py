@@ -15,7 +15,7 @@ def suffix_array(seq: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(per):
         key <<= np.uint64(bits + 1)
-        key[: n - j] |= seq[j:].astype(np.uint64) + np.uint64(1)
+        key[: max(0, n - j)] |= seq[j:].astype(np.uint64) + np.uint64(1)
     sa = np.argsort(key)
     key = key[sa]
     head = np.ones(n, bool)
