@@ -65,7 +65,7 @@ def picked_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
 
     A feature is picked if it is in toxic texts so much more often than their share that, of all features
     in toxic texts, half a one would be expected to do so by chance. Copies count once: texts are
-    weighted by the number that share their least word hash. A greedy cover then picks features for
+    weighted by the number that share their least hash of three words. A greedy cover then picks features for
     toxic texts that have none so far, whole words before their prefixes.
     """
     kinds = len(tokens.features)
@@ -73,11 +73,7 @@ def picked_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     doc = np.concatenate([p >> BITS for p in pairs])
     name = np.concatenate([(p & (1 << BITS) - 1) * kinds + k for k, p in enumerate(pairs)])
     del pairs
-    some = np.flatnonzero(np.diff(tokens.firsts))
-    least = np.full(len(toxic), -1, np.int64)
-    least[some] = np.minimum.reduceat(tokens.features[0], tokens.firsts[some])
-    _, group, copies = np.unique(least, return_inverse=True, return_counts=True)
-    weight = 1 / copies[group]
+    weight = 1 / _copies(tokens)
     share = weight[toxic].sum() / weight.sum()
     bad = toxic[doc]
     clean = np.bincount(name[~bad], weight[doc[~bad]], minlength=kinds << BITS)
@@ -97,6 +93,18 @@ def picked_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
         picked[np.argmax(np.where(good, (count - clean / CLEAN_SHARE / 2) * (kinds + 1) + specific, -np.inf))] = True
 
 
+def _copies(tokens: Tokens) -> np.ndarray:
+    """For each text the number of texts with its least hash of three neighbouring words."""
+    word, n = tokens.features[0].astype(np.uint64), len(tokens.firsts) - 1
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for step in (1, 2):
+        later = np.minimum(np.arange(len(word)) + step, tokens.firsts[1:][tokens.doc] - 1)
+        word = word << np.uint64(BITS) | tokens.features[0][later].astype(np.uint64)
+    np.minimum.at(least, tokens.doc, tb.mixed(word))
+    _, group, copies = np.unique(least, return_inverse=True, return_counts=True)
+    return copies[group]
+
+
 def token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Whether each token is of a toxic text and has a picked feature."""
     picked, kinds = picked_features(tokens, toxic), len(tokens.features)
