@@ -88,7 +88,7 @@ def fingerprints(df: DataFrame, *, shingle: int = 4, key: str = "doc_id", text:
         for batch in tables:
             body, offsets = tb.flat(batch.column(1))
             found = []
-            for low, high in tb.pieces(offsets, tb.PIECE_BYTES // 4):
+            for low, high in tb.pieces(offsets):
                 found.append(majority(*shingle_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["id", "fp"])
 
@@ -246,7 +246,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     def prints(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             body, offsets = tb.flat(batch.column(2))
-            found = [wide_fingerprints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in tb.pieces(offsets, tb.PIECE_BYTES // 4)]
+            found = [wide_fingerprints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in tb.pieces(offsets)]
             fps = np.concatenate(found) if found else np.zeros((0, WORDS), np.uint64)
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(fps[:, k].view(np.int64)) for k in range(WORDS))], names=["id", "digest", *names])
 
@@ -275,6 +275,6 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     roots = components(dealt.groupBy("bucket").applyInArrow(near, "a long, b long")).withColumnRenamed("node", "n")
     grouped = kinds.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.id").alias("stay_id"), F.col("first.digest").alias("stay_digest"))
-    marked = df.withColumn("row_digest", digest)
-    found = marked.join(stay, F.col(key).cast("long").eqNullSafe(F.col("stay_id")) & (F.col("row_digest") == F.col("stay_digest")), "left_semi")
-    return found.dropDuplicates([key, "row_digest"]).select(*df.columns)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("id"), digest.alias("digest"))
+    found = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")), "left_semi")
+    return found.dropDuplicates(["id", "digest"]).select("row.*")
