@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes at a time (more only for a single longer text).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _MULT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
