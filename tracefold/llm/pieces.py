@@ -5,9 +5,9 @@ merging by score would leave every two neighbouring pieces apart: that path is t
 each prefix of the text has exactly one. So each position keeps one backpointer, and an edge is taken
 if its piece may follow the piece that ends where it begins. A position can only be extended for as
 many characters as the longest piece has; backpointers older than that are kept only until all paths
-from that window converge on one boundary, up to which ids are committed. No piece has a space after
-another character, so paths always converge before a space; the stretches between are encoded once
-per batch and kept in a bounded cache.
+from that window converge on one boundary, up to which ids are committed. Where two characters stand
+side by side in no piece, as a space after another character, all paths converge; the stretches
+between such places are encoded once per batch and kept in a bounded cache.
 
 Defined cases: null and empty texts have no ids, and decode to the empty text; characters that no
 piece has become byte pieces; U+2581 reads as a space, as in the library, so it is the one character
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,11 @@ from tracefold.llm.columns import carried
 
 SPACE = "▁"
 #: Stretches whose ids a worker keeps, and pairs of pieces.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
-#: A character that no piece has.
-_UNKNOWN = -1
+CACHE_WORDS, CACHE_PAIRS = 200_000, 1_000_000
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 4 << 20
+#: In place of a piece's id: none yet, a character that no piece has, the beginning of a longer piece alone.
+_NONE, _UNKNOWN, _PREFIX = -1, -2, -3
 
 
 class Pieces:
@@ -62,18 +65,18 @@ class Pieces:
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids), default=1)
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.rank = {p: r for r, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-scores[p], self.ids[p])))}
         self.scores = scores
-        self.starts: dict[str, str | None] = {}
-        for piece in self.ids:
-            left = self.merged(piece)
-            if len(piece) > 1 and left[0] != [piece]:
+        self.names = {i: piece for piece, i in self.ids.items()}
+        self.starts: dict[str, int] = {}  # every beginning of a piece, with the id of the piece that it is
+        for piece, i in self.ids.items():
+            parts, last = self.merged(piece)
+            if parts != [piece]:
                 continue  # merging never makes it
-            self.halves[piece] = left[1]
+            self.halves[piece] = last
             for n in range(1, len(piece)):
-                self.starts.setdefault(piece[:n], None)
-            self.starts[piece] = piece
-        self.follows: dict[tuple[str, str], bool] = {}
+                self.starts.setdefault(piece[:n], _PREFIX)
+            self.starts[piece] = i
+        self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What merging best scores first makes of a text, and the last two pieces that it merged."""
@@ -89,13 +92,15 @@ class Pieces:
             last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, left: str, right: str) -> bool:
+    def may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves these two pieces apart, when each is made of its own characters."""
-        known = self.follows.get((left, right))
+        pair = left << 32 | right
+        known = self.follows.get(pair)
         if known is None:
             if len(self.follows) >= CACHE_PAIRS:
                 self.follows.clear()
-            known = self.follows[left, right] = right[0] == SPACE != left[-1] or self._apart(left, right)
+            one, other = self.names[left], self.names[right]
+            known = self.follows[pair] = other[0] == SPACE != one[-1] or self._apart(one, other)
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -126,53 +131,52 @@ class Pieces:
         Held are the characters and backpointers from the last committed boundary on, and no position
         is extended by more than the longest piece.
         """
-        text, base, done = "", 0, 0  # characters held, the place of the first, positions extended
-        back: list[tuple[int, str | None]] = [(-1, None)]  # for each position from base: where its last piece begins, and that piece
+        text, done = "", 0  # characters since the last boundary, positions among them that were extended
+        begin, piece = [0], [_NONE]  # for each position the backpointer, and the piece that ends there
         source, ended = iter(chars), False
-        while not ended or done < base + len(text):
-            more = "".join(c for _, c in zip(range(4 * self.longest), source))
-            text, ended = text + more, not more
-            back += [(-1, None)] * len(more)
-            while done < base + len(text) - (0 if ended else self.longest):
-                self._extend(text, base, back, done)
-                done += 1
-            # all paths that can still go on end in positions from `done` to `done` + longest
-            live = {p for p in range(done, base + len(text) + 1) if p == done or back[p - base][1] is not None}
+        while not ended or done < len(text):
+            more = "".join(islice(source, 4 * self.longest))
+            text, ended = text + more, len(more) < 4 * self.longest
+            begin += [0] * len(more)
+            piece += [_NONE] * len(more)
+            stop = len(text) if ended else max(done, len(text) - self.longest)
+            self._extend(text, done, stop, begin, piece)
+            done = stop
+            # all paths that can still go on end in positions from `done` on
+            live = {done, *(p for p in range(done, len(text) + 1) if piece[p] != _NONE)}
             while len(live) > 1:
-                p = max(live)
-                live.remove(p)
-                live.add(back[p - base][0])
+                last = max(live)
+                live.remove(last)
+                live.add(begin[last])
             (met,) = live
-            if met > base:
-                yield from self._path(back, base, met)
-                back, text, base = [(-1, back[met - base][1]), *back[met - base + 1 :]], text[met - base :], met
-
-    def _extend(self, text: str, base: int, back: list[tuple[int, str | None]], at: int) -> None:
-        """Takes every edge that begins at a position."""
-        low, before = at - base, back[at - base][1]
-        starts, follows = self.starts, self.follows
-        if text[low] not in self.ids:
-            back[low + 1] = (at, text[low])
-        for high in range(low + 1, min(low + self.longest, len(text)) + 1):
-            part = text[low:high]
-            piece = starts.get(part, _UNKNOWN)
-            if piece == _UNKNOWN:
-                break
-            if piece is not None and back[high][1] is None:
-                if before is None or before not in self.ids:
-                    back[high] = (at, piece)
-                else:
-                    known = follows.get((before, piece))
-                    if self.may_follow(before, piece) if known is None else known:
-                        back[high] = (at, piece)
-
-    def _path(self, back: list[tuple[int, str | None]], base: int, end: int) -> list[int]:
+            yield from self._path(text, begin, piece, met)
+            text, done = text[met:], done - met
+            begin, piece = [max(0, p - met) for p in begin[met:]], piece[met:]
+
+    def _extend(self, text: str, first: int, stop: int, begin: list[int], piece: list[int]) -> None:
+        """Takes every edge that begins at the positions from first to stop."""
+        find, follows, longest, end = self.starts.get, self.follows, self.longest, len(text)
+        for low in range(first, stop):
+            before = piece[low]
+            for high in range(low + 1, min(low + longest, end) + 1):
+                found = find(text[low:high], _NONE)
+                if found >= 0:
+                    if piece[high] == _NONE and (before < 0 or (follows[before << 32 | found] if before << 32 | found in follows else self.may_follow(before, found))):
+                        begin[high], piece[high] = low, found
+                elif found == _NONE:
+                    if high == low + 1:
+                        begin[high], piece[high] = low, _UNKNOWN
+                    break
+
+    def _path(self, text: str, begin: list[int], piece: list[int], end: int) -> list[int]:
+        """The ids of the best path to a position."""
         out: list[int] = []
-        while end > base:
-            start, piece = back[end - base]
-            own = self.ids.get(piece)
-            out += [own] if own is not None else [self.byte_ids[b] for b in reversed(piece.encode())]
-            end = start
+        while end > 0:
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[begin[end] : end].encode())]
+            end = begin[end]
         out.reverse()
         return out
 
@@ -193,8 +197,13 @@ class Batches:
         self.pieces, self.known = Pieces(path), {}
         self.text_at = np.concatenate([[0], np.cumsum([len(t) for t in self.pieces.texts])])
         self.text = np.frombuffer(b"".join(self.pieces.texts), np.uint8)
+        self.inside = np.zeros(1 << 16, bool)  # pairs of bytes that stand side by side in a piece
+        for name in self.pieces.ids:
+            own = np.frombuffer(name.replace(SPACE, " ").encode(), np.uint8).astype(np.int64)
+            self.inside[own[:-1] << 8 | own[1:]] = True
 
     def stretch(self, word: bytes) -> bytes:
+        """The ids of the characters between two places where all paths converge."""
         return np.array(list(self.pieces.encode_stream(word.decode().replace(" ", SPACE))), np.int32).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +214,8 @@ class Batches:
         full = np.flatnonzero(np.diff(offsets))
         body = np.insert(body, offsets[full], 0x20)  # the space before the first word
         offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
-        start = body == 0x20
-        start[1:] &= body[:-1] != 0x20
+        start = np.ones(len(body), bool)
+        start[1:] = ~self.inside[body[:-1].astype(np.uint16) << 8 | body[1:]] & ((body[1:] & 0xC0) != 0x80)
         start[offsets[full]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(body)) if len(starts) else starts
@@ -248,7 +257,7 @@ def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
         own = batches(path)
         for batch in tables:
             _, offsets = tb.flat(batch.column(1))
-            for low, high in tb.pieces(offsets):
+            for low, high in tb.pieces(offsets, TEXT_BYTES):
                 part = batch.slice(low, high - low)
                 ids, at = own.encode(part.column(1))
                 same = pc.equal(own.decode(ids, at), pc.fill_null(part.column(1), "").cast(pa.binary()))
