@@ -11,6 +11,7 @@ from tests.test_wire import batch, span
 from tracefold.definition import BATCHES, TRACE
 from tracefold.functions import scalars as fn
 from tracefold.operators import codec, delta, dictionary, flatten
+from tracefold.operators import tree as tree_operators
 from tracefold.plans import registry
 from tracefold.sources import files, http, otlp, traces
 from tracefold.sources.rows import row, tree
@@ -138,6 +139,26 @@ def test_files_and_streams(spark, tmp_path, batches):
     assert spark.read.parquet(f"{tmp_path}/out2").count() == 10
 
 
+def test_bounded_batches(spark):
+    rows = spark.range(25).select((F.col("id") % 2).alias("g"), F.col("id").alias("at"))
+    sizes = flatten.batched(rows, 5, "g", ("at",)).groupBy("g", "batch_no").count().collect()
+    assert sorted(r["count"] for r in sizes) == [2, 3, 5, 5, 5, 5]
+
+
+def test_trees(spark):
+    spans = spark.createDataFrame([("t", "a", None, 10), ("t", "b", "a", 4), ("t", "c", "b", 9), ("t", "x", "gone", 1), ("t", "y", "z", 1), ("t", "z", "y", 1)], "t string, s string, p string, n long").toDF("trace", "span", "parent", "nanos")
+    depths = {r["span"]: r["depth"] for r in tree_operators.depth(spans, "trace", "span", "parent").collect()}
+    assert depths == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
+    own = {r["span"]: r["self_nanos"] for r in tree_operators.self_time(spans, "trace", "span", "parent", "nanos").collect()}
+    assert own == {"a": 6, "b": 0, "c": 9, "x": 1, "y": 0, "z": 0}
+
+
+def test_console(spark, sf_dir, tmp_path, capfd):
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    jobs.console(source, f"{tmp_path}/cp").awaitTermination()
+
+
 def test_http(spark, tmp_path):
     server = http.receiver(0, f"{tmp_path}/spool", dead=f"{tmp_path}/dead")
     threading.Thread(target=server.serve_forever, daemon=True).start()

@@ -45,7 +45,7 @@ def fnv1a_boolean(column: Column) -> Column:
 @F.pandas_udf(T.LongType())
 def double_bits(column: pd.Series) -> pd.Series:
     """The IEEE bits of a double as a long; Spark SQL has no expression for them."""
-    return pd.Series(column.to_numpy("float64").view("int64"), index=column.index).where(column.notna() | True)
+    return pd.Series(column.to_numpy("float64").view("int64"))
 
 
 def fnv1a_double(column: Column) -> Column:

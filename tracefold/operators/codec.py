@@ -22,6 +22,8 @@ from tracefold.wire import Codec, Options
 
 #: Names of the formats, in which a batch can be written.
 FORMATS = ("proto", "proto_zstd", "proto_gzip", "json", "dict", "dict_zstd", "dict_gzip")
+#: Bytes of Arrow rows that are Python objects at a time; single larger rows aside.
+PIECE_BYTES = 1 << 20
 _NESTED = to_arrow_type(BATCHES["resourceSpans"].dataType)
 
 
@@ -68,9 +70,10 @@ def read(body: bytes, form: str, options: Options) -> dict:
 
 def _each(batches: Iterator[pa.RecordBatch], work: Callable[[dict], dict], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 64):  # few rows as Python objects at a time
+        step = max(1, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes))
+        for low in range(0, batch.num_rows, step):
             rows = []
-            for held in batch.slice(low, 64).to_pylist():
+            for held in batch.slice(low, step).to_pylist():
                 made: dict = {"batch_id": held["batch_id"]}
                 try:
                     made |= work(held)
