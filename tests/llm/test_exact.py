@@ -140,6 +140,8 @@ def test_components(spark):
     want = groups(pairs, {n for p in pairs for n in p})
     assert got == {n: r for n, r in want.items() if n in got} and all(n in got or want[n] == n for n in want)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    nodes, roots = graph.stars(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert dict(zip(nodes.tolist(), roots.tolist())) == {n: r for n, r in want.items() if n != r}
 
 
 def test_one_of_each(docs):
@@ -359,3 +361,23 @@ def test_words(texts):
     for k in range(len(starts)):
         assert seen.setdefault(data[starts[k] : ends[k]], hashes[k]) == hashes[k]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_benchmarks_in_blocks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontaminate.mark(docs, items, window=3).collect()
+    assert Counter((r["id"], r["n_words"], r["n_hit"], len(r["items"]), r["items_sha256"]) for r in found) == brute_marks(rows, ITEMS, 3)
+
+
+def test_recall_of_nearest(spark):
+    folder = "/root/testdata/sf0.01/embeddings.parquet"
+    table = spark.read.parquet(folder).toPandas().sort_values("vec_id")
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    found = permutation.nearest(spark.read.parquet(folder)).toPandas()
+    norm, hits, asked = np.linalg.norm(x, axis=1), 0, np.flatnonzero(ids % 50 == 0)
+    for q in asked:
+        score = x @ x[q] / norm / norm[q]
+        best = [ids[i] for i in np.lexsort((ids, -score)) if i != q][:5]
+        hits += len(set(best) & set(found[found["query_id"] == ids[q]]["vec_id"]))
+    assert hits >= 0.9 * 5 * len(asked)

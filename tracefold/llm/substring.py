@@ -17,7 +17,7 @@ of any two is expected.
 Defined cases: null and empty texts have no words and the digest of the empty string; texts shorter
 than `length` words lose nothing; a null id is larger than every other and is never an earlier copy
 of another null; rows of the same id do not remove each other's words; an empty table gives an empty
-result; other columns are not read.
+result; other columns are not read unless carried. Rows that repeat both id and text share a block.
 """
 
 from __future__ import annotations
