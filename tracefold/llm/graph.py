@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components: each node that isn't the smallest of its component, and the smallest."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[one], root[other])
+        before = root.copy()
+        for side in (one, other):
+            np.minimum.at(root, before[side], low)
+            np.minimum.at(root, side, low)
+        while True:
+            jumped = root[root]
+            if (jumped == root).all():
+                break
+            root = jumped
+        if (root == before).all():
+            far = np.flatnonzero(root != np.arange(len(nodes)))
+            return nodes[far], nodes[root[far]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an undirected edge table (a, b): root is the smallest node reachable.
 

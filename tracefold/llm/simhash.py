@@ -12,7 +12,9 @@ Distinct fingerprints are linked at `distance` differing bits or fewer, exactly:
 * Within a key, pairs are discarded whose coordinates to any of PIVOTS further references differ by
   more than `distance` (by the triangle inequality those can't be linked), and the rest are verified.
 * A long run of one key, as a large group of near copies makes, isn't expanded into pairs: a search
-  from fingerprint to fingerprint emits one edge for each that it reaches.
+  from fingerprint to fingerprint takes one edge for each that it reaches.
+* Of the links that a bucket of keys has found, it emits one edge for each fingerprint, to the smallest
+  of its component there.
 
 Defined cases: a text without words (null too) has fingerprint 0, linked like any other; a text of
 fewer words than a shingle is one shingle; a null id takes part but is never a component's id unless
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import checkpointed, components
+from tracefold.llm.graph import checkpointed, components, stars
 
 SEED = 42
 #: References beside the structured ones.
@@ -41,7 +43,7 @@ PIVOTS = 12
 #: Rows of one key in a bucket before the search takes the place of direct comparison.
 RUN = 64
 #: (key, fingerprint) rows in one bucket.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, WIDE_BUCKET_ROWS = 100_000, 400_000
 #: Adds up to 255 hash bytes: bit j of a byte goes to byte j of the sum.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1).astype(np.uint64)
 
@@ -175,7 +177,8 @@ def links(kinds: DataFrame, distance: int, count: int) -> DataFrame:
     def near(table: pa.Table) -> pa.Table:
         fps = np.asarray(table.column("fp").combine_chunks()).view(np.uint64)
         a, b = links_within(np.asarray(table.column("key").combine_chunks()), fps[:, None], distance)
-        return pa.table({"a": pa.array(fps[a].view(np.int64)), "b": pa.array(fps[b].view(np.int64))})
+        a, b = stars(fps[a].view(np.int64), fps[b].view(np.int64))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return dealt.groupBy("bucket").applyInArrow(near, "a long, b long")
 
@@ -253,7 +256,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     made = checkpointed(source.mapInArrow(prints, "id long, digest string, " + ", ".join(f"{n} long" for n in names)))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
     kinds = made.groupBy(*names).agg(first).withColumn("node", F.xxhash64(*names))
-    buckets = max(8, -(-kinds.count() * KEYS // BUCKET_ROWS))
+    buckets = max(6, -(-kinds.count() * KEYS // WIDE_BUCKET_ROWS))
 
     def deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
@@ -269,7 +272,8 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     def near(table: pa.Table) -> pa.Table:
         keys, node, fps = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("fps", np.uint64)))
         a, b = links_within(keys, fps.reshape(-1, WORDS), reach(similarity), pivots=2)
-        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+        a, b = stars(node[a], node[b])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     dealt = kinds.select("node", *names).mapInArrow(deal, "bucket int, keys binary, nodes binary, fps binary")
     roots = components(dealt.groupBy("bucket").applyInArrow(near, "a long, b long")).withColumnRenamed("node", "n")
