@@ -87,6 +87,14 @@ def test_pool_identity():
     assert [v.canonical(x) for x in got] == [v.canonical(x) for x in values + values]
 
 
+@given(st.lists(FREE, max_size=6))
+def test_identity_is_that_of_canonical_texts(values):
+    for one in values:
+        assert v.equal(v.from_canonical(v.canonical(one)), one) and v.equal(v.from_tagged(v.to_tagged(one)), one)
+        for other in values:
+            assert (v.identity(one) == v.identity(other)) == v.equal(one, other)
+
+
 def test_what_is_left_out_and_kept():
     out = spans_of(CODECS[0].decode(CODECS[0].encode(batch(span(kind=0, attributes={"i": 0, "s": "", "b": False, "n": None})))))[0]
     assert out["kind"] is None and out["attributes"] == {"i": 0, "s": "", "b": False, "n": None}

@@ -286,6 +286,13 @@ def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.sizes(traces.event_batches(spark, sf_dir))
 
 
+@query()
+def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nanoseconds that each format took to write and read, over all batches."""
+    taken = codec.timed(traces.event_batches(spark, sf_dir))
+    return taken.groupBy("format").agg(F.sum("bytes").alias("bytes"), F.sum("write_nanos").alias("write_nanos"), F.sum("read_nanos").alias("read_nanos"))
+
+
 @query("SELECT event_id // 500 AS batch_id, count(*) AS spans, true AS read_back FROM events GROUP BY 1")
 def formats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each format gives the batch back that protocol buffers give."""

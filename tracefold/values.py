@@ -49,6 +49,20 @@ def value_hash(value: Any) -> int:
     return fnv1a(struct.pack({INTEGER: ">q", BOOLEAN: ">B", DOUBLE: ">d"}[shape], value))
 
 
+def identity(value: Any) -> Any:
+    """A hashable key that is equal for equal trees only, by the same rules as the canonical text."""
+    shape = type(value)
+    if shape is str or shape is bytes or value is None:
+        return value
+    if shape is dict:
+        return OBJECT, tuple([(key, identity(value[key])) for key in sorted(value)])
+    if shape is list:
+        return ARRAY, tuple([identity(x) for x in value])
+    if shape is float:
+        return DOUBLE, None if value != value else bits(value)
+    return kind(value), value
+
+
 def canonical(value: Any) -> str:
     """A text that is equal for equal trees only: typed, keys sorted, doubles by bits, all NaNs alike."""
     return json.dumps(_typed(value), ensure_ascii=False, separators=(",", ":"))

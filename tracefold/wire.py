@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from tracefold.definition import ARRAY, BOOLEAN, BYTES, DOUBLE, INTEGER, OBJECT, STRING, Definition, pool_order, resolve
-from tracefold.values import canonical, empty, kind
+from tracefold.values import empty, identity, kind
 
 #: Fixed value: stands between the dictionaries and the tree.
 MAGIC = b"cprval"
@@ -47,6 +47,9 @@ def write_varint(number: int) -> bytes:
     return bytes(out)
 
 
+_SMALL = [bytes([n]) for n in range(64)]
+
+
 def wrap(number: int) -> int:
     """A number modulo 2 ** 64, as a signed one."""
     return (number + (1 << 63) & (1 << 64) - 1) - (1 << 63)
@@ -97,13 +100,15 @@ class Message:
 
     def __init__(self, options: Options):
         self.options = options
-        self.pools: dict[str, dict[str, int]] = {}
+        self.pools: dict[str, dict[Any, int]] = {}
         self.bodies: dict[str, list[bytes]] = {}
         self.strings: dict[str, int] = {}
         self.last: dict[str, int] = {}
 
     def integer(self, number: int) -> bytes:
-        return write_varint(number) if self.options.varint else struct.pack("<q", number)
+        if not self.options.varint:
+            return struct.pack("<q", number)
+        return _SMALL[number] if 0 <= number < 64 else write_varint(number)
 
     def sized(self, data: bytes) -> bytes:
         return self.integer(len(data)) + data
@@ -113,12 +118,13 @@ class Message:
 
     def entry(self, pool: str, value: Any, body: Callable[[Any, Message], bytes]) -> bytes:
         """The index of a value in a pool, which takes it in on first sight."""
-        known, key = self.pools.setdefault(pool, {}), canonical(value)
-        if key not in known:
-            known[key] = len(known)
+        known, key = self.pools.setdefault(pool, {}), identity(value)
+        index = known.get(key)
+        if index is None:
+            index = known[key] = len(known)
             self.bodies.setdefault(pool, []).append(b"")
-            self.bodies[pool][known[key]] = body(value, self)
-        return self.integer(known[key])
+            self.bodies[pool][index] = body(value, self)
+        return self.integer(index)
 
 
 def _free_body(value: Any, to: Message) -> bytes:
