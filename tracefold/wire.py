@@ -13,9 +13,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, NamedTuple
 
-from tracefold.definition import ARRAY, BOOLEAN, BYTES, DOUBLE, INTEGER, OBJECT, STRING, Definition, pool_order, resolve
+from tracefold.definition import ARRAY, BOOLEAN, BYTES, DOUBLE, INTEGER, OBJECT, STRING, Definition, pool_order, walk
 from tracefold.values import empty, identity, kind
 
 #: Fixed value: stands between the dictionaries and the tree.
@@ -70,6 +70,9 @@ class Reader:
     def integer(self) -> int:
         if not self.options.varint:
             return struct.unpack("<q", self.take(8))[0]
+        if self.at < len(self.data) and (byte := self.data[self.at]) < 0x80:
+            self.at += 1
+            return byte - (byte << 1 & 0x80)
         total = 0
         for shift in range(0, 56, 7):
             byte = self.take(1)[0]
@@ -95,6 +98,15 @@ class Reader:
         return self.take(1) != b"\0"
 
 
+class _Found(NamedTuple):
+    """What a message that is being read has told so far."""
+
+    source: Reader
+    strings: list[str]
+    pools: dict[str, list]
+    last: dict[str, int]
+
+
 class Message:
     """The dictionaries, strings and last integers of one message that is being written."""
 
@@ -195,7 +207,9 @@ class Codec:
     def __init__(self, definition: Definition, options: Options = Options()):
         self.definition, self.options = definition, options
         self.order = pool_order(definition)
-        self._write = self._writer(definition, "")
+        self._write, self._read = self._writer(definition, ""), self._reader(definition, "")
+        places = {node.pool(path): (node, path) for path, node in walk(definition) if node.pool(path) is not None}
+        self._pool_readers = {pool: self._body_reader(*place) for pool, place in places.items()}
 
     def encode(self, value: Any) -> bytes:
         """The message of a tree; equal trees give equal messages."""
@@ -215,22 +229,21 @@ class Codec:
     def parts(self, body: bytes) -> tuple[list[str], dict[str, list], Any]:
         """The strings, the dictionaries and the tree of a message."""
         source = Reader(body, self.options)
-        strings = [source.text() for _ in range(source.size())]
-        pools: dict[str, list] = {}
+        found = _Found(source, [source.text() for _ in range(source.size())], {}, {})
         for _ in range(source.size()):
             name = source.text()
-            node = resolve(self.definition, name)
-            if node is None or node.pool(name) != name:
+            read_body = self._pool_readers.get(name)
+            if read_body is None:
                 raise WireError(f"unknown pool {name!r}")
-            entries = pools.setdefault(name, [])
+            entries = found.pools.setdefault(name, [])
             for _ in range(source.size()):
-                entries.append(self._read_body(node, "" if node.share is not None else name, source, strings, pools, None))
+                entries.append(read_body(found))
         if source.take(len(MAGIC)) != MAGIC:
             raise WireError("no magic after the dictionaries")
-        value = self._read(self.definition, "", source, strings, pools, {})
+        value = self._read(found)
         if source.at != len(body):
             raise WireError(f"{len(body) - source.at} bytes after the message")
-        return strings, pools, value
+        return found.strings, found.pools, value
 
     def _writer(self, node: Definition, path: str) -> Callable[[Any, Message], bytes]:
         body, pool = self._body_writer(node, path), node.pool(path)
@@ -265,22 +278,31 @@ class Codec:
             return delta
         return lambda value, to: _scalar(node.type, value, to)
 
-    def _read(self, node: Definition, path: str, source: Reader, strings: list[str], pools: dict[str, list], last: dict[str, int] | None) -> Any:
-        if node.nullable and not source.flag():
-            return None
-        pool = node.pool(path)
+    def _reader(self, node: Definition, path: str) -> Callable[[_Found], Any]:
+        body, pool = self._body_reader(node, path), node.pool(path)
         if pool is not None:
-            return _pick(pools.get(pool, []), source.integer(), f"entry of {pool!r}")
-        return self._read_body(node, path, source, strings, pools, last)
 
-    def _read_body(self, node: Definition, path: str, source: Reader, strings: list[str], pools: dict[str, list], last: dict[str, int] | None) -> Any:
+            def body(found: _Found) -> Any:
+                return _pick(found.pools.get(pool, []), found.source.integer(), pool)
+
+        if node.nullable:
+            return lambda found: body(found) if found.source.flag() else None
+        return body
+
+    def _body_reader(self, node: Definition, path: str) -> Callable[[_Found], Any]:
         if node.type == OBJECT and node.fields is not None:
-            return {name: self._read(sub, f"{path} {name}".strip(), source, strings, pools, last) for name, sub in node.children()}
+            parts = [(name, self._reader(sub, f"{path} {name}".strip())) for name, sub in node.children()]
+            return lambda found: {name: read(found) for name, read in parts}
         if node.type == ARRAY and node.item is not None:
-            return [self._read(node.item, f"{path} item".strip(), source, strings, pools, last) for _ in range(source.size())]
+            read_item = self._reader(node.item, f"{path} item".strip())
+            return lambda found: [read_item(found) for _ in range(found.source.size())]
         if node.type in (OBJECT, ARRAY):
-            return _read_free(node.type, source, strings)
-        found = _read_scalar(node.type, source)
-        if node.diff and last is not None:
-            found = last[path] = wrap(last.get(path, 0) + found)
-        return found
+            return lambda found: _read_free(node.type, found.source, found.strings)
+        if node.type == INTEGER and node.diff:
+
+            def total(found: _Found) -> int:
+                now = found.last[path] = wrap(found.last.get(path, 0) + found.source.integer())
+                return now
+
+            return total
+        return lambda found: _read_scalar(node.type, found.source)
