@@ -23,6 +23,7 @@ parameter names; each executor needs that file.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -65,6 +66,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,10 +85,12 @@ class Encoder:
         names, known = distinct.to_pylist(), self.known
         new = [k for k, w in enumerate(names) if w not in known]
         fresh = self._plain([names[k] for k in new if not odd[k]]) | self._single([names[k] for k in new if odd[k]])
-        coded = [fresh[w] if w in fresh else known[w] for w in names]
+        coded = list(map(known.get, names))
+        for k in new:
+            coded[k] = fresh[names[k]]
         if len(known) < CACHE_WORDS:
             known.update(fresh)
-        at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)])
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) >> 2)])
         ids, word_at = tb.laid_out(np.frombuffer(b"".join(coded), np.uint32), at, codes)
         return ids, word_at[np.searchsorted(starts, offsets)]
 
