@@ -180,9 +180,13 @@ def distinct_words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 def laid_out(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists values[at[c]:at[c + 1]] for each code c, end to end, and the offsets of the codes in that."""
-    sizes = (at[1:] - at[:-1])[codes]
+    return gathered(values, at[:-1][codes], (at[1:] - at[:-1])[codes])
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `sizes` values from `starts` on, end to end, and their offsets in that."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    return values[np.repeat(at[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 def cut(column: pa.Array, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> pa.Array:

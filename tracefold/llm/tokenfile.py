@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from tracefold.llm.graph import shared_folder
 
 MAGIC = b"TKF1"
 #: Bytes of text in a segment, and in a range of keys.
-SEGMENT_TEXT, RANGE_BYTES = 8 << 20, 16 << 20
+SEGMENT_TEXT, RANGE_BYTES = 4 << 20, 16 << 20
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 #: White space that no token of a word tokenizer reaches across.
@@ -70,7 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.ids, self.at = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
@@ -81,36 +82,43 @@ class Encoder:
         body, offsets = tb.flat(column)
         body, starts, ends = units(body, offsets)
         codes, distinct = tb.distinct_words(body, starts, ends)
-        odd = odd_bytes(*tb.flat(distinct))
-        names, known = distinct.to_pylist(), self.known
-        new = [k for k, w in enumerate(names) if w not in known]
-        fresh = self._plain([names[k] for k in new if not odd[k]]) | self._single([names[k] for k in new if odd[k]])
-        coded = list(map(known.get, names))
-        for k in new:
-            coded[k] = fresh[names[k]]
-        if len(known) < CACHE_WORDS:
-            known.update(fresh)
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) >> 2)])
-        ids, word_at = tb.laid_out(np.frombuffer(b"".join(coded), np.uint32), at, codes)
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        fresh = distinct.take(pa.array(new))
+        ids, sizes = self._encode_units(fresh)
+        place[new] = len(self.words) + np.arange(len(new))
+        known, at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        if len(self.words) < CACHE_WORDS:
+            self.words, self.ids, self.at = pa.concat_arrays([self.words, fresh]), known, at
+        ids, word_at = tb.laid_out(known, at, place[codes])
         return ids, word_at[np.searchsorted(starts, offsets)]
 
-    def _single(self, names: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(names, found)}
-
-    def _plain(self, names: list[bytes]) -> dict[bytes, bytes]:
-        """Units that the tokenizer keeps whole, a line of them at a time; word ends part the ids again."""
-        out: dict[bytes, bytes] = {}
+    def _encode_units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some units end to end, and the number of each one's ids."""
+        odd = odd_bytes(*tb.flat(words))
+        plain, single = np.flatnonzero(~odd), np.flatnonzero(odd)
+        names = words.take(pa.array(plain)).to_pylist()
+        parts, sizes = [], np.zeros(len(words), np.int64)
         lines = [names[k : k + LINE_UNITS] for k in range(0, len(names), LINE_UNITS)]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(line) or ends[-1] != len(ids):
-                out |= self._single(line)
-                continue
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out |= {w: data[a:b] for w, a, b in zip(line, at, at[1:])}
-        return out
+        # units that the tokenizer keeps whole, a line of them at a time; word ends part the ids again
+        for k, found in enumerate(self._encoded([b" ".join(line) for line in lines])):
+            own = slice(k * LINE_UNITS, k * LINE_UNITS + len(lines[k]))
+            ends = np.flatnonzero(self.word_end[found]) + 1
+            if len(ends) != len(lines[k]) or ends[-1] != len(found):
+                each = self._encoded(lines[k])
+                found, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            parts.append(found)
+            sizes[plain[own]] = np.diff(ends, prepend=0)
+        each = self._encoded(words.take(pa.array(single)).to_pylist())
+        sizes[single] = [len(e) for e in each]
+        order = np.concatenate([plain, single])
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return tb.gathered(np.concatenate([*parts, *each, np.zeros(0, np.uint32)]), begin, sizes)[0], sizes
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
 
 
 def _odd(body: np.ndarray) -> np.ndarray:
