@@ -10,7 +10,7 @@ offsets are running sums within chunks of CHUNK turns, and chunk totals are adde
 
 Defined cases: a null speaker is named "unknown"; a null text is empty; "<|" in names and texts
 becomes "<\\|", so that texts hold no markers; a null dialogue id is a dialogue; null turns come first;
-rows of one turn are in order of speaker and text, and repeated rows are messages of their own; a
+rows of one turn are in order of speaker and the text's MD5, and repeated rows are messages of their own; a
 dialogue of system messages alone has no rendering; an empty table gives an empty result; other
 columns are not read.
 """
@@ -40,28 +40,40 @@ def rotate(df: DataFrame, *, dialogue: str = "conv_id", turn: str = "turn", spea
         _plain(F.coalesce(F.col(speaker), F.lit("unknown"))).alias("s"),
         _plain(F.coalesce(F.col(text), F.lit(""))).alias("x"),
     )
-    said = said.withColumn("chunk", F.coalesce(F.floor(F.col("t") / CHUNK), F.lit(-(1 << 60))))
-    people = said.where(~F.col("s").isin(*SYSTEM)).select(F.col("d").alias("pd"), F.col("s").alias("p")).distinct()
-    head = F.when(F.col("s") == F.col("p"), F.lit("<|assistant|>\n")).when(F.col("s").isin(*SYSTEM), F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("s"), F.lit("|>\n")))
-    rows = said.join(people, F.col("d").eqNullSafe(F.col("pd"))).withColumn("head", head)
-    rows = rows.withColumn("rendered", F.concat("head", "x", F.lit(f"{END}\n")))
-    size = F.length("rendered").cast("long")
+    said = said.withColumns({"chunk": F.coalesce(F.floor(F.col("t") / CHUNK), F.lit(-(1 << 60))), "digest": F.md5(F.col("x").cast("binary")), "size": F.length("x")})
+    place = Window.partitionBy("d", "chunk").orderBy("t", "s", "digest")
+    said = said.withColumn("k", F.row_number().over(place))
 
-    totals = rows.groupBy("d", "p", "chunk").agg(F.sum(size).alias("chars"), F.count("*").alias("n"))
+    # positions are found on rows without texts, which are joined in the end
+    light = said.select("d", "chunk", "k", "s", "size")
+    people = light.where(~F.col("s").isin(*SYSTEM)).select(F.col("d").alias("pd"), F.col("s").alias("p")).distinct()
+    rows = light.join(people, F.col("d").eqNullSafe(F.col("pd"))).drop("pd")
+    rows = rows.withColumn("width", (F.length(_head(F.col("s"), F.col("p"))) + F.col("size") + len(END) + 1).cast("long"))
+    totals = rows.groupBy("d", "p", "chunk").agg(F.sum("width").alias("chars"), F.count("*").alias("n"))
     earlier = Window.partitionBy("d", "p").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("d").alias("bd"), F.col("p").alias("bp"), F.col("chunk").alias("bc"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("char0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("seq0"))
-    within = Window.partitionBy("d", "p", "chunk").orderBy("t", "s", "x")
-    rows = rows.withColumn("seq", F.row_number().over(within) - 1).withColumn("at", F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.partitionBy("d", "p", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("width").over(before), F.lit(0)))
     rows = rows.join(bases, F.col("d").eqNullSafe(F.col("bd")) & (F.col("p") == F.col("bp")) & (F.col("chunk") == F.col("bc")))
-    start, own = F.col("char0") + F.col("at"), F.col("s") == F.col("p")
-    return rows.select(
+    placed = rows.select(F.col("d").alias("rd"), F.col("chunk").alias("rc"), F.col("k").alias("rk"), "p", (F.col("seq0") + F.col("k") - 1).alias("seq"), (F.col("char0") + F.col("at")).alias("start"))
+
+    out = said.select("d", "t", "s", "x", "chunk", "k").join(placed, F.col("d").eqNullSafe(F.col("rd")) & (F.col("chunk") == F.col("rc")) & (F.col("k") == F.col("rk")))
+    head, own = _head(F.col("s"), F.col("p")), F.col("s") == F.col("p")
+    first = F.col("start") + F.length(head)
+    return out.select(
         F.col("d").alias("dialogue"),
         F.col("p").alias("perspective"),
-        (F.col("seq0") + F.col("seq")).alias("seq"),
+        "seq",
         F.col("t").alias("turn"),
         F.col("s").alias("speaker"),
-        "rendered",
-        start.alias("start"),
-        F.when(own, start + F.length("head")).alias("mask_start"),
-        F.when(own, start + F.length("rendered") - 1).alias("mask_end"),
+        F.concat(head, "x", F.lit(f"{END}\n")).alias("rendered"),
+        "start",
+        F.when(own, first).alias("mask_start"),
+        F.when(own, first + F.length("x") + len(END)).alias("mask_end"),
     )
+
+
+def _head(speaker: Column, perspective: Column) -> Column:
+    """What stands before a message."""
+    name = F.concat(F.lit("<|user name="), speaker, F.lit("|>\n"))
+    return F.when(speaker == perspective, F.lit("<|assistant|>\n")).when(speaker.isin(*SYSTEM), F.lit("<|system|>\n")).otherwise(name)
