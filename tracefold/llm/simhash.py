@@ -63,8 +63,8 @@ def shingle_hashes(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return np.array(hashes, np.uint64), at
 
 
-def majority(hashes: np.ndarray, at: np.ndarray, ties: np.ndarray | None = None) -> np.ndarray:
-    """For each text the bits that are set in over half of its hashes; at just half, those of its number in `ties`."""
+def majority(hashes: np.ndarray, at: np.ndarray, ties: int = 0) -> np.ndarray:
+    """For each text the bits that are set in over half of its hashes; at just half, those of `ties`."""
     counts = np.diff(at)
     runs = -(-counts // 255)
     ends = np.cumsum(runs)
@@ -78,8 +78,7 @@ def majority(hashes: np.ndarray, at: np.ndarray, ties: np.ndarray | None = None)
     bits = np.zeros((len(counts), 64), bool)
     twice, half = 2 * np.add.reduceat(sums.astype(np.int64), run_at[full], axis=0), counts[full][:, None]
     bits[full] = twice > half
-    if ties is not None:
-        bits[full] |= (twice == half) & np.unpackbits(ties[full].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    bits[full] |= (twice == half) & np.array([bool(ties >> b & 1) for b in range(64)])
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
@@ -200,6 +199,7 @@ def near_copies(df: DataFrame, *, shingle: int = 4, distance: int = 4, key: str
 WORDS, KEYS, KEY_BITS = 4, 48, 16
 #: Bits beyond the expected difference that a link may have, in standard deviations.
 SLACK = 1.5
+_TIES = 0xAAAAAAAAAAAAAAAA
 _SALTS = np.concatenate([[np.uint64(0)], tb.mixed(np.arange(101, 100 + WORDS, dtype=np.uint64))])
 
 
@@ -210,17 +210,17 @@ def reach(similarity: float, bits: int = 64 * WORDS) -> int:
 
 
 def wide_fingerprints(body: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Rows of WORDS words: SimHashes over as many hashes of each distinct shingle; the least one settles ties."""
+    """Rows of WORDS words: SimHashes over as many hashes of each distinct shingle.
+
+    Ties go to fixed bits, half of them ones, so that short texts aren't drawn to each other or to none.
+    """
     hashes, at = shingle_hashes(body, offsets, shingle)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((hashes, doc))
     hashes, new = hashes[order], np.ones(len(order), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     hashes, at = hashes[new], np.concatenate([[0], np.cumsum(new)])[at]
-    least, some = np.zeros(len(at) - 1, np.uint64), np.flatnonzero(np.diff(at))
-    if len(some):
-        least[some] = np.minimum.reduceat(hashes, at[some])
-    return np.stack([majority(tb.mixed(hashes ^ s), at, tb.mixed(least ^ s)) for s in _SALTS], axis=1)
+    return np.stack([majority(tb.mixed(hashes ^ s), at, _TIES) for s in _SALTS], axis=1)
 
 
 def _key_bits() -> list[np.ndarray]:
