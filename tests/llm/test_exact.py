@@ -150,6 +150,29 @@ def test_one_of_each(docs):
     assert Counter(r["doc_id"] for r in found.select("doc_id").collect()) == Counter([0, 3, 5, 6, 9, 10, 11, 12, 13, 14, 15, 16, None])
 
 
+def test_wide_fingerprints_follow_similarity():
+    rng = np.random.default_rng(4)
+    limit = simhash.reach(0.8)
+
+    def bits(sets):
+        lists = [" ".join(s) for s in sets]
+        body, offsets = textblocks.flat(pa.array(lists))
+        return simhash.wide_fingerprints(body, offsets, 1)
+
+    for n in (2, 3, 4, 10, 200):
+        own = [[f"{k}-{i}" for i in range(n)] for k in range(60)]
+        fps = bits([*own, []])
+        apart = [int(simhash.apart(fps[i], fps[j])) for i in range(61) for j in range(i)]
+        assert min(apart) > limit
+    for n in (40, 300):
+        texts = [[f"{k}-{i}" for i in range(n)] for k in range(60)]
+        near = [[f"new{k}-{i}" if i < n // 12 else w for i, w in enumerate(t)] for k, t in enumerate(texts)]  # similarity 0.85
+        close = [int(simhash.apart(a, b)) <= limit for a, b in zip(bits(texts), bits(near))]
+        assert np.mean(close) > 0.9
+    keys = simhash.wide_keys(rng.integers(0, 2**63, (5, simhash.WORDS), dtype=np.uint64))
+    assert keys.shape == (simhash.KEYS, 5) and len(np.unique(keys)) == keys.size
+
+
 ITEMS = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "ONE"), (3, None), (4, " "), (None, "日本語 text here"), (5, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "one"), (10, "two words")]
 TEXTS = ["a w1 W2 w3,w4 w5 w6 w7 w8 w9 w10 w11 b one", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w9", "two\nwords two words", "日本語 text here", "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11", None, ""]
 
@@ -303,6 +326,8 @@ def test_nearest(spark):
         hits += len({r["vec_id"] for r in own} & set(best))
     assert hits >= 0.95 * 90
     assert [r["vec_id"] for r in found if r["query_id"] == 50] != [] and {r["vec_id"] for r in found if r["query_id"] == 50} == {100, 101, 102, 103, 104}
+    again = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [1.0, 0.1]), (3, [1.0, 0.1]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in permutation.nearest(again).orderBy("rank").collect()] == [3, 3, 4]
     few = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [0.0, 1e200])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in permutation.nearest(few).orderBy("rank").collect()] == [(50, 1, 1, 1.0), (50, 2, 2, 0.0)]
 
