@@ -86,7 +86,7 @@ r AS (SELECT s.*, perspective, CASE WHEN speaker = perspective THEN '<|assistant
   ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 t AS (SELECT *, head || x || '<|end|>' || chr(10) AS rendered, row_number() OVER w - 1 AS seq,
   coalesce(sum(length(head || x) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r
-  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, x))
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(x)))
 SELECT conv_id, perspective, seq, turn, speaker, rendered, start, CASE WHEN speaker = perspective THEN start + length(head) END AS mask_start,
   CASE WHEN speaker = perspective THEN start + length(rendered) - 1 END AS mask_end FROM t
 """
@@ -152,5 +152,25 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op4_chat_rotation": op4_chat_rotation, "op5_decontamination": op5_decontamination, "op6_token_file": op6_token_file, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_nearest": op9_nearest, "op10_sentencepiece": op10_sentencepiece, "op2_sharding": op2_sharding}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_chat_rotation": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op2_sharding": OP2_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_sharding,
+        op3_simhash,
+        op4_chat_rotation,
+        op5_decontamination,
+        op6_token_file,
+        op7_license_scan,
+        op8_toxicity,
+        op9_nearest,
+        op10_sentencepiece,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op2_sharding": OP2_SQL,
+    "op4_chat_rotation": OP4_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op7_license_scan": OP7_SQL,
+}
