@@ -71,14 +71,21 @@ def whole_digest(form: Column) -> Column:
 def scan(df: DataFrame, known: DataFrame, *, key: str = "doc_id", text: str = "text", name: str = "license", known_text: str = "text") -> DataFrame:
     """Per row: key, digest, license (of the whole text), notices (licences of its lines, in order, joined by commas; else null)."""
     forms = known.select(F.col(name).alias("name"), canonical(F.col(known_text)).alias("form"))
-    listed = forms.select("name", whole_digest(F.col("form")).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256)).distinct()
-    named = listed.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("license"))
+    listed = forms.select("name", whole_digest(F.col("form")).alias("known")).where(F.col("known") != F.sha2(F.lit(""), 256))
+    named = listed.groupBy("known").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
     rows = df.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("raw"), canonical(F.col(text)).alias("form"))
-    whole = rows.select("key", "raw", whole_digest(F.col("form")).alias("digest")).join(named, "digest", "left")
-    lines = rows.select("key", "raw", F.explode(F.split("form", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
-    hits = lines.withColumn("digest", F.sha2("line", 256)).join(listed, "digest").select("key", "raw", "name").distinct()
-    notices = hits.groupBy("key", "raw").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
-    notices = notices.select(F.col("key").alias("nk"), F.col("raw").alias("nr"), "notices")
-    found = whole.join(notices, F.col("key").eqNullSafe(F.col("nk")) & (F.col("raw") == F.col("nr")), "left")
-    return found.select("key", "digest", "license", "notices")
+    whole = F.array(F.struct(F.lit(True).alias("whole"), whole_digest(F.col("form")).alias("digest")))
+    written = F.filter(F.transform(F.split("form", "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    lines = F.transform(written, lambda line: F.struct(F.lit(False).alias("whole"), F.sha2(line, 256).alias("digest")))
+    parts = rows.select("key", "raw", F.explode(F.concat(whole, lines)).alias("part")).select("key", "raw", "part.*")
+    told = parts.join(named, F.col("digest") == F.col("known"), "left").where("whole OR names IS NOT NULL")
+    # one row for each text that is kept, and one for each line that is a notice
+    texts = told.groupBy("key", "raw").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
+        F.max(F.when(F.col("whole"), F.array_join("names", ","))).alias("license"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("whole"), F.col("names")))))).alias("found"),
+        F.count(F.when(F.col("whole"), 1)).alias("n"),
+    )
+    each = texts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.select("key", "digest", "license", F.when(F.size("found") > 0, F.array_join("found", ",")).alias("notices"))
