@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.llm.graph import checkpointed
+
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
 #: Slots are counted within chunks of a shard, so that no task sorts a whole shard.
@@ -54,6 +56,7 @@ def shard_rows(df: DataFrame, weights: Sequence[float], *, key: str = "doc_id",
     kinds = rows.groupBy("k", "size", "crc").agg(F.count("*").alias("n")).withColumn("name", name)
     kinds = kinds.withColumn("shard", assign(F.col("name"), weights)).withColumn("grown", assign(F.col("name"), [*weights, added]))
     kinds = kinds.withColumn("chunk", chunk_of(F.col("name"), F.col("crc"))).drop("name")
+    kinds = checkpointed(kinds)  # a few bytes a row, so that texts are read once
     totals = kinds.groupBy("shard", "chunk").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = totals.select("shard", "chunk", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
