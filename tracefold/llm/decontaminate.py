@@ -30,7 +30,7 @@ from tracefold.llm.columns import carried
 from tracefold.llm.fmindex import FMIndex
 
 #: Bytes of benchmark text in one broadcast, and of training text in one index.
-BLOCK_BYTES, SHARD_BYTES = 2 << 20, 6 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 #: Occurrences that are located at a time.
 ROWS = 200_000
 SEPARATOR = 1

@@ -14,7 +14,8 @@ size, drawn by a hash of the id.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components, and rows with
 a null id, take no part; nor do vectors of another length than most have. Rows with the query's id
-are its own. Equal scores are in order of id. With fewer candidates than `k` all are returned; an
+are its own; an id that repeats is asked once, with the smallest of its vectors, and its rows are
+candidates each. Equal scores are in order of id. With fewer candidates than `k` all are returned; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -90,7 +91,8 @@ def nearest(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_id",
     kept = fit.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
     over = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     posted = kept.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), over.alias("block"))
-    asked = fit.where(F.col("id") % every == 0).select("id", "v", F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = fit.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.select("id", "v", F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("id", "v", "shard", "block")
 
     def search(own: pa.Table, queries: pa.Table) -> pa.Table:
