@@ -273,6 +273,43 @@ def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("batch_id", "span_pos", "name", F.col("startTimeUnixNano").alias("start_nanos"))
 
 
+_ORDER_SPANS = "SELECT o_orderkey // 500 AS batch_id, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS span_pos, * FROM orders"
+_ORDER_EVENTS = f"""SELECT batch_id, span_pos::INT AS span_pos, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(traces.LINE_ORDER[1:])}) - 1)::INT AS event_pos,
+  epoch_us(l_shipdate) * 1000 AS nanos, l_returnflag AS name, l_linestatus AS status FROM ({_ORDER_SPANS}) JOIN lineitem ON l_orderkey = o_orderkey"""
+
+
+def _event_rows(flat: DataFrame) -> DataFrame:
+    return flatten.events(flat).select("batch_id", "span_pos", "event_pos", F.col("timeUnixNano").alias("nanos"), "name", F.col("attributes")["status"]["s"].alias("status"))
+
+
+@query(_ORDER_EVENTS)
+def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_rows(flatten.spans(traces.order_batches(spark, sf_dir)))
+
+
+@query(_ORDER_EVENTS)
+def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that went through messages: differences of their times are of either sign and any length."""
+    bodies = codec.encode(traces.order_batches(spark, sf_dir))
+    return _event_rows(flatten.spans(codec.decode(bodies, column="dict").where("error IS NULL")))
+
+
+@query(f"SELECT batch_id, span_pos::INT AS span_pos, lpad(lower(hex(o_custkey)), 32, '0') AS trace_id, lpad(lower(hex(o_custkey)), 16, '0') AS span_id FROM ({_ORDER_SPANS})")
+def wire_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = codec.encode(traces.order_batches(spark, sf_dir))
+    found = flatten.links(flatten.spans(codec.decode(bodies, column="dict").where("error IS NULL")))
+    return found.select("batch_id", "span_pos", F.lower(F.hex("traceId")).alias("trace_id"), F.lower(F.hex("spanId")).alias("span_id"))
+
+
+@query(f"""WITH s AS ({_ORDER_SPANS}),
+o AS (SELECT batch_id, span_pos, 0 AS f, o_custkey AS id FROM s UNION ALL SELECT batch_id, span_pos, 1, 0 FROM s UNION ALL SELECT batch_id, span_pos, 2, o_orderkey FROM s)
+SELECT batch_id, lpad(lower(hex(id)), 16, '0') AS span_id, row_number() OVER (PARTITION BY batch_id ORDER BY min({{'p': span_pos, 'f': f}})) - 1 AS idx FROM o GROUP BY batch_id, id""")
+def wire_shared_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of span ids in messages: a span's links stand before its parent, and that before itself."""
+    found = codec.pools(codec.encode(traces.order_batches(spark, sf_dir)), column="dict").where("pool = 'spanId'")
+    return found.select("batch_id", F.lower(F.hex(F.unbase64(F.get_json_object("key", "$[1]")))).alias("span_id"), "idx")
+
+
 @query(f"SELECT batch_id, key AS name, idx FROM (SELECT batch_id, name AS key, row_number() OVER (PARTITION BY batch_id ORDER BY min(event_id)) - 1 AS idx FROM ({_EVENT_SPANS}) GROUP BY batch_id, name)")
 def wire_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary of span names as messages hold it."""

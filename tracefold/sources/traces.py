@@ -89,6 +89,28 @@ def event_batches(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFram
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 
 
+def order_batches(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
+    """Orders as spans with their line items as events and a link to the customer; times go back and forth."""
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    span_kind = BATCHES["resourceSpans"].dataType.elementType["scopeSpans"].dataType.elementType["spans"].dataType.elementType
+    place = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER[1:])
+    none = F.create_map().cast(ATTRIBUTES)
+    event = F.struct(_nanos(F.col("l_shipdate")).alias("timeUnixNano"), F.col("l_returnflag").alias("name"), _text_map(status=F.col("l_linestatus")).alias("attributes"), F.lit(0).cast("long").alias("droppedAttributesCount"))
+    pairs = F.collect_list(F.struct("at", "event"))
+    ordered = F.transform(F.array_sort(pairs, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda e: e["event"])
+    events = items.select(F.col("l_orderkey").alias("o_orderkey"), F.row_number().over(place).alias("at"), event.alias("event")).groupBy("o_orderkey").agg(ordered.alias("events"))
+    link = F.struct(_id(F.col("o_custkey"), 16).alias("traceId"), _id(F.col("o_custkey"), 8).alias("spanId"), F.lit("").alias("traceState"), none.alias("attributes"), F.lit(0).cast("long").alias("droppedAttributesCount"))
+    start = _nanos(F.col("o_orderdate"))
+    span = _span(
+        traceId=_id(F.col("o_orderkey"), 16), spanId=_id(F.col("o_orderkey"), 8), parentSpanId=_id(F.lit(0).cast("long"), 8), traceState=F.lit(""),
+        name=F.col("o_orderpriority"), kind=F.lit(2), startTimeUnixNano=start, endTimeUnixNano=start + F.floor("o_totalprice"),
+        attributes=none, droppedAttributesCount=F.lit(0), droppedEventsCount=F.lit(0), droppedLinksCount=F.lit(0),
+        events=F.coalesce("events", F.array().cast(span_kind["events"].dataType)), links=F.array(link), status=F.struct(F.col("o_orderstatus").alias("message"), F.lit(1).cast("long").alias("code")),
+    )
+    rows = orders.join(events, "o_orderkey", "left")
+    return nest(rows.select(F.floor(F.col("o_orderkey") / size).alias("batch_id"), F.col("o_orderkey").alias("pos"), span.alias("span")), "orders")
+
+
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their line items as flat spans (trace, pos, parent, name, start, status); times go back and forth."""
     orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
