@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Stretches whose ids a worker keeps, and pairs of pieces.
 CACHE_WORDS, CACHE_PAIRS = 200_000, 1_000_000
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: In place of a piece's id: none yet, a character that no piece has, the beginning of a longer piece alone.
 _NONE, _UNKNOWN, _PREFIX = -1, -2, -3
 
