@@ -350,7 +350,9 @@ def test_long_dialogues_in_chunks(spark):
         at[r["perspective"]] += len(r["rendered"])
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("most", [licenses.BROADCAST_ROWS, 0])
+def test_licenses(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 100)
     other = mit.upper().replace("COPYRIGHT (C) <YEAR> <OWNER>", "Copyright © 2020 Someone, Inc.\n(c) 2021 Else").replace("SUBLICENSE", "sub-license").replace(", ", " ,  ").replace("MIT LICENSE", "“MIT” Licence")
     texts = [mit, other, mit + " more", "text\n  released UNDER the mit licence \nmore\nLicensed under CC BY-NC 4.0", None, "", None, ""]
