@@ -36,6 +36,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic marks that count as punctuation.
 MARKS = "“”‘’–—•«» \r\t"
 
+#: Known digests, of about 100 bytes each, that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 #: Public notices and short licences.
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _AUTHOR = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -73,6 +75,8 @@ def scan(df: DataFrame, known: DataFrame, *, key: str = "doc_id", text: str = "t
     forms = known.select(F.col(name).alias("name"), canonical(F.col(known_text)).alias("form"))
     listed = forms.select("name", whole_digest(F.col("form")).alias("known")).where(F.col("known") != F.sha2(F.lit(""), 256))
     named = listed.groupBy("known").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
 
     rows = df.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("raw"), canonical(F.col(text)).alias("form"))
     whole = F.array(F.struct(F.lit(True).alias("whole"), whole_digest(F.col("form")).alias("digest")))
