@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, in whatever store it is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder."""
     shared_folder(df.sparkSession)

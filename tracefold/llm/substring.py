@@ -192,9 +192,12 @@ def _earlier(key: tuple, table: pa.Table) -> pa.Table:
     return _replies(key[0].as_py(), 1, blocks, packet, bits)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), spans: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), spans: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256; with `spans` also the removed word ranges and `clean`, the text without them.
 
+    Every block sends a packet to most buckets: on large inputs raise `block_bytes` and `bucket_bytes`
+    as executors' memory allows (about 30 bytes of it for each byte of a block).
+
     A word goes if it lies in a window of `length` words whose sequence also starts in a row with a
     smaller id. Kept words are joined by one space. `length` must be over 30.
     """
@@ -202,7 +205,7 @@ def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text
         raise ValueError(f"length must be at least {PERIOD}")
     rows, kinds, own_columns = carried(df.withColumn(key, F.col(key).cast("long")), key, text, carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, buckets = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES)), max(16, -(-total // BUCKET_BYTES))
+    n_blocks, buckets = max(LEAST_BLOCKS, -(-total // block_bytes)), max(16, -(-total // bucket_bytes))
     docs = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:

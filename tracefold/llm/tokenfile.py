@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import shared_folder
+from tracefold.llm.graph import remove, shared_folder
 
 MAGIC = b"TKF1"
 #: Bytes of text in a segment, and in a range of keys.
@@ -273,8 +273,7 @@ def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id
                 yield pa.RecordBatch.from_pylist([{"part": part, "before": before, "tokens": n, "image": image}])
 
     tokens.mapInArrow(pack_rows, "part long, before long, tokens long, image binary").write.parquet(f"{folder}/segments")
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/plain")
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    remove(spark, f"{folder}/plain")
 
 
 def read(spark: SparkSession, folder: str, *, ids: bool = False) -> DataFrame:
