@@ -169,8 +169,11 @@ def test_http(spark, tmp_path):
     with pytest.raises(urllib.error.HTTPError) as refused:
         urllib.request.urlopen(url)
     assert refused.value.code == 405
+    traces.write_json_lines(frame(spark, [NESTED]), f"{tmp_path}/lines")
+    jobs.encode_stream(jobs.text_batches(spark, f"{tmp_path}/lines"), f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/cp", url=url).awaitTermination()
+    assert [r["status"] for r in spark.read.parquet(f"{tmp_path}/out-posted").collect()] == [200] and spark.read.parquet(f"{tmp_path}/out").count() == 1
     server.shutdown()
-    assert len(files.listed(f"{tmp_path}/spool")) == 1 and len(files.listed(f"{tmp_path}/dead")) == 1
+    assert len(files.listed(f"{tmp_path}/spool")) == 2 and len(files.listed(f"{tmp_path}/dead")) == 1
     assert http.post(bodies, "http://127.0.0.1:1/").where("error IS NULL").count() == 0
 
 

@@ -31,7 +31,7 @@ def message_batches(spark: SparkSession, spool: str, options: Options = Options(
 def encode_stream(batches: DataFrame, out: str, dead: str, checkpoint: str, options: Options = Options(), form: str = "dict", seconds: int | None = None, url: str | None = None) -> StreamingQuery:
     """Writes each batch's message to a Parquet table, broken ones to `dead`, and posts them if a URL is told.
 
-    Without `seconds` it takes what is there and ends. A micro-batch that is repeated overwrites its own part.
+    What posting gave is in `<out>-posted`. Without `seconds` it takes what is there and ends. A micro-batch that is repeated overwrites its own part.
     """
     plain = batches.select("batch_id", "resourceSpans", F.col("error").alias("read_error"))
 
@@ -42,7 +42,7 @@ def encode_stream(batches: DataFrame, out: str, dead: str, checkpoint: str, opti
         broken = rows.where("read_error IS NOT NULL").select("batch_id", F.col("read_error").alias("error"))
         broken.unionByName(coded.where("error IS NOT NULL").select("batch_id", "error")).write.mode("overwrite").parquet(f"{dead}/micro={number}")
         if url:
-            post(coded.where("error IS NULL"), url).write.mode("overwrite").parquet(f"{out}/posted/micro={number}")
+            post(coded.where("error IS NULL"), url).write.mode("overwrite").parquet(f"{out}-posted/micro={number}")
         coded.unpersist()
         rows.unpersist()
 
