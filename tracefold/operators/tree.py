@@ -16,7 +16,7 @@ def depth(spans: DataFrame, trace: str, span: str, parent: str, most: int = 32)
     found = level
     for step in range(1, most):
         up = level.select(F.col("t"), F.col("s").alias("p"))
-        level = keyed.join(up, ["t", "p"]).select("t", "s", F.lit(step).alias("depth"))
+        level = keyed.join(up, ["t", "p"]).select("t", "s", F.lit(step).alias("depth")).persist()  # each is read twice or more
         if level.isEmpty():
             break
         found = found.unionByName(level)
