@@ -1,4 +1,4 @@
-"""OpenTelemetry's own formats: trace batches as JSON and as protocol buffers, to value trees and back.
+"""The public trace protocol's own formats: batches as JSON and as protocol buffers, to value trees and back.
 
 Numbers of fields and names are those of the public protocol. A reader sets every field, with the
 protocol's default where the source has none; flags of spans and links aren't carried.
