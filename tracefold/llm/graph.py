@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
@@ -18,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_BYTES, unless the session has a bound of its own: texts may be long."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table, in whatever store it is."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import checkpointed, components, stars
+from tracefold.llm.graph import bounded_batches, checkpointed, components, stars
 
 SEED = 42
 #: References beside the structured ones.
@@ -43,7 +43,7 @@ PIVOTS = 12
 #: Rows of one key in a bucket before the search takes the place of direct comparison.
 RUN = 64
 #: (key, fingerprint) rows in one bucket.
-BUCKET_ROWS, WIDE_BUCKET_ROWS = 100_000, 400_000
+BUCKET_ROWS, WIDE_BUCKET_ROWS = 100_000, 250_000
 #: Adds up to 255 hash bytes: bit j of a byte goes to byte j of the sum.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1).astype(np.uint64)
 
@@ -93,6 +93,7 @@ def fingerprints(df: DataFrame, *, shingle: int = 4, key: str = "doc_id", text:
                 found.append(majority(*shingle_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
 
 
@@ -242,6 +243,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     pairs as above, and those within `reach` bits are linked. Texts without words are one group. Rows
     with a null id come after all others; of equal rows one stays. All columns of df are returned.
     """
+    bounded_batches(df.sparkSession)
     digest = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     source = df.select(F.col(key).cast("long").alias("id"), digest.alias("digest"), F.col(text).alias("text"))
     names = [f"w{k}" for k in range(WORDS)]
@@ -259,7 +261,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     buckets = max(6, -(-kinds.count() * KEYS // WIDE_BUCKET_ROWS))
 
     def deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tables:
+        for batch in (whole.slice(k, 2500) for whole in tables for k in range(0, whole.num_rows, 2500)):
             fps = np.stack([np.asarray(batch.column(1 + k)).view(np.uint64) for k in range(WORDS)], axis=1)
             keys, row = wide_keys(fps).ravel(), np.tile(np.arange(len(fps)), KEYS)
             bucket = (keys >> np.uint64(32)) % np.uint64(buckets)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+if sys.platform == "linux":  # arrays of over 1 MB go back to the system once they are freed (M_MMAP_THRESHOLD)
+    getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(-3, 1 << 20)
+
 #: Bytes of text that one numpy pass takes at a time (more only for a single longer text).
 PIECE_BYTES = 1 << 20
 _MULT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import remove, shared_folder
+from tracefold.llm.graph import bounded_batches, remove, shared_folder
 
 MAGIC = b"TKF1"
 #: Bytes of text in a segment, and in a range of keys.
@@ -239,6 +239,7 @@ def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id
     and each run of plain ids becomes a segment in place. The plain ids are deleted at the end.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("digest", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
