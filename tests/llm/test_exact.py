@@ -150,6 +150,19 @@ def test_one_of_each(docs):
     assert Counter(r["doc_id"] for r in found.select("doc_id").collect()) == Counter([0, 3, 5, 6, 9, 10, 11, 12, 13, 14, 15, 16, None])
 
 
+def pairs_of_texts(spark, pairs, changed, n=180):
+    """Ids 2k and 2k + 1 are texts of n shingles that differ in the last `changed` words; Jaccard (n - changed) / (n + changed)."""
+    rows = []
+    for k in range(pairs):
+        own = [f"p{k}x{i}" for i in range(n + 4)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[: n + 4 - changed], *(f"q{k}x{i}" for i in range(changed))]))]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_one_of_each_keeps_texts_below_the_similarity(spark):
+    assert simhash.one_of_each(pairs_of_texts(spark, 150, 27)).count() == 300  # 153 of 207 shingles
+
+
 def test_wide_fingerprints_follow_similarity():
     rng = np.random.default_rng(4)
     limit = simhash.reach(0.8)

@@ -215,12 +215,11 @@ def wide_fingerprints(body: np.ndarray, offsets: np.ndarray, shingle: int) -> np
 
     Ties go to fixed bits, half of them ones, so that short texts aren't drawn to each other or to none.
     """
-    hashes, at = shingle_hashes(body, offsets, shingle)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((hashes, doc))
-    hashes, new = hashes[order], np.ones(len(order), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    hashes, at = hashes[new], np.concatenate([[0], np.cumsum(new)])[at]
+    hashes, at = distinct_hashes(body, offsets, shingle)
+    return wide_majority(hashes, at)
+
+
+def wide_majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([majority(tb.mixed(hashes ^ s), at, _TIES) for s in _SALTS], axis=1)
 
 
@@ -235,12 +234,58 @@ def wide_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack([tb.mixed((bits[:, own].astype(np.uint64) << place).sum(1, dtype=np.uint64) << np.uint64(8) | np.uint64(k)) for k, own in enumerate(_key_bits())])
 
 
+def distinct_hashes(body: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's shingles, and the offsets of the texts among them."""
+    hashes, at = shingle_hashes(body, offsets, shingle)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((hashes, doc))
+    hashes, new = hashes[order], np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
+def overlap(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that two sets share at least, if their sizes add up to `sizes` and their Jaccard similarity is enough."""
+    return np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+
+
+def alike(pairs: DataFrame, known: DataFrame, source: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more.
+
+    `known` names each node's row (node, first_id, first_digest) of `source` (id, digest, text).
+    """
+
+    def sets(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            body, offsets = tb.flat(batch.column(1))
+            for low, high in tb.pieces(offsets):
+                hashes, at = distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)
+                yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "hashes"])
+
+    def compare(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            keep = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= int(overlap(np.array(len(x) + len(y)), similarity)))
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = source.join(known.join(wanted, "node", "left_semi"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
+    found = checkpointed(rows.select("node", "text").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id (then the smallest digest) stays.
 
-    Groups are the components of links between texts whose shingle sets have `similarity` or more, as
-    their SimHashes of 256 bits tell it: candidates share one of 48 keys of 16 bits, pivots discard
-    pairs as above, and those within `reach` bits are linked. Texts without words are one group. Rows
+    Groups are the components of links between texts whose shingle sets have a Jaccard similarity of
+    `similarity` or more. SimHashes of 256 bits only find candidates: those share one of 48 keys of 16
+    bits and are within `reach` bits; each one's sets are then compared. Texts without words are one
+    group; texts are told apart by a 64-bit hash of their sets. Rows
     with a null id come after all others; of equal rows one stays. All columns of df are returned.
     """
     bounded_batches(df.sparkSession)
@@ -251,13 +296,17 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     def prints(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             body, offsets = tb.flat(batch.column(2))
-            found = [wide_fingerprints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in tb.pieces(offsets)]
-            fps = np.concatenate(found) if found else np.zeros((0, WORDS), np.uint64)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(fps[:, k].view(np.int64)) for k in range(WORDS))], names=["id", "digest", *names])
+            for low, high in tb.pieces(offsets):
+                hashes, at = distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)
+                fps = wide_majority(hashes, at)
+                node = [xxhash.xxh64_intdigest(hashes[a:b].tobytes(), SEED) for a, b in zip(at[:-1], at[1:])]
+                columns = [pa.array(x.view(np.int64)) for x in (np.array(node, np.uint64), *np.ascontiguousarray(fps.T))]
+                yield pa.record_batch([c.slice(low, high - low) for c in batch.columns[:2]] + columns, names=["id", "digest", "node", *names])
 
-    made = checkpointed(source.mapInArrow(prints, "id long, digest string, " + ", ".join(f"{n} long" for n in names)))
+    made = checkpointed(source.mapInArrow(prints, "id long, digest string, node long, " + ", ".join(f"{n} long" for n in names)))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
-    kinds = made.groupBy(*names).agg(first).withColumn("node", F.xxhash64(*names))
+    kinds = made.groupBy("node", *names).agg(first)
+    known = kinds.select("node", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest"))
     buckets = max(6, -(-kinds.count() * KEYS // WIDE_BUCKET_ROWS))
 
     def deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +323,12 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     def near(table: pa.Table) -> pa.Table:
         keys, node, fps = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("fps", np.uint64)))
         a, b = links_within(keys, fps.reshape(-1, WORDS), reach(similarity), pivots=2)
-        a, b = stars(node[a], node[b])
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        found = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     dealt = kinds.select("node", *names).mapInArrow(deal, "bucket int, keys binary, nodes binary, fps binary")
-    roots = components(dealt.groupBy("bucket").applyInArrow(near, "a long, b long")).withColumnRenamed("node", "n")
+    near_pairs = dealt.groupBy("bucket").applyInArrow(near, "a long, b long")
+    roots = components(alike(near_pairs, known, source, shingle=shingle, similarity=similarity)).withColumnRenamed("node", "n")
     grouped = kinds.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.id").alias("stay_id"), F.col("first.digest").alias("stay_digest"))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("id"), digest.alias("digest"))
