@@ -163,6 +163,28 @@ def test_one_of_each_keeps_texts_below_the_similarity(spark):
     assert simhash.one_of_each(pairs_of_texts(spark, 150, 27)).count() == 300  # 153 of 207 shingles
 
 
+def test_one_of_each_misses_no_pair_at_the_similarity(spark):
+    assert simhash.one_of_each(pairs_of_texts(spark, 250, 20)).count() == 250  # 160 of 200 shingles, just 0.8
+
+
+@pytest.mark.parametrize("run", [2, 64])
+def test_prefixes_find_all_similar_sets(monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    rng = np.random.default_rng(6)
+    base = [rng.choice(400, rng.integers(1, 60), replace=False) for _ in range(30)]
+    sets = [np.unique(np.concatenate([rng.permutation(x)[rng.integers(0, 1 + len(x) // 6) :], rng.integers(0, 400, rng.integers(0, 6))])).astype(np.uint64) for x in base for _ in range(8)] + [np.zeros(0, np.uint64)]
+    at, ids = np.cumsum([0, *map(len, sets)]), np.arange(len(sets))
+    common = (np.arange(0, 400, 3, dtype=np.uint64), rng.integers(4, 9, 134))
+    tokens, cuts = simhash.prefixes(np.concatenate(sets), at, common, 0.8)
+    own, roots = np.repeat(ids, np.diff(cuts)), ids // 3
+    a, b = simhash.sharing(tokens, np.diff(at)[own], np.arange(len(own)) - cuts[own], roots[own], 0.8)
+    found = {(min(x, y), max(x, y)) for x, y in zip(own[a].tolist(), own[b].tolist())}
+    bits = simhash.parities(np.concatenate(sets), at).view(np.uint64)
+    want = [(i, j) for j in ids.tolist() for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) > 0]
+    assert len(want) > 40 and {p for p in want if roots[p[0]] != roots[p[1]]} <= found
+    assert all(simhash.apart(bits[i], bits[j]) <= len(np.setxor1d(sets[i], sets[j])) for i, j in want)
+
+
 def test_wide_fingerprints_follow_similarity():
     rng = np.random.default_rng(4)
     limit = simhash.reach(0.8)

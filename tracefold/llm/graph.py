@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -40,6 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles that nothing refers to any more: it learns of them as the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges with the same components: each node that isn't the smallest of its component, and the smallest."""
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)

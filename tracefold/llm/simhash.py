@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import bounded_batches, checkpointed, components, stars
+from tracefold.llm.graph import bounded_batches, checkpointed, components, release, stars
 
 SEED = 42
 #: References beside the structured ones.
@@ -44,6 +44,12 @@ PIVOTS = 12
 RUN = 64
 #: (key, fingerprint) rows in one bucket.
 BUCKET_ROWS, WIDE_BUCKET_ROWS = 100_000, 250_000
+#: A set; a shingle hash (its lower half, within a bucket of the upper half) of a prefix, with its place there and its set.
+SET = np.dtype([("node", "<i8"), ("root", "<i8"), ("size", "<u4")])
+POSTING = np.dtype([("token", "<u4"), ("place", "<u4"), ("set", "<u2")])
+TOKEN_BUCKET_ROWS = 1_000_000
+#: Bits of a set's parities; slots of the table that tells which sets are compared, by remainder.
+PARITIES, SLOTS = 1024, 1 << 22
 #: Adds up to 255 hash bytes: bit j of a byte goes to byte j of the sum.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1).astype(np.uint64)
 
@@ -210,6 +216,10 @@ def reach(similarity: float, bits: int = 64 * WORDS) -> int:
     return int(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))
 
 
+#: Documents in the sample that tells common shingles, in how many of them one is, and most of those that are taken.
+SAMPLE, COMMON, COMMON_ROWS = 10_000, 4, 200_000
+
+
 def wide_fingerprints(body: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """Rows of WORDS words: SimHashes over as many hashes of each distinct shingle.
 
@@ -249,43 +259,149 @@ def overlap(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
 
 
+def parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set the parities of its hashes by their remainders: PARITIES bits, of which two sets differ in no more than in elements."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    odd = np.bincount(doc * PARITIES + (hashes % np.uint64(PARITIES)).astype(np.int64), minlength=(len(at) - 1) * PARITIES) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, PARITIES), axis=1)
+
+
+def set_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), SEED) for a, b in zip(at[:-1], at[1:])], np.uint64).view(np.int64)
+
+
 def alike(pairs: DataFrame, known: DataFrame, source: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more.
 
-    `known` names each node's row (node, first_id, first_digest) of `source` (id, digest, text).
+    `known` is (node, size, bits) of all sets in the texts of `source`. Pairs whose parities tell that they
+    differ in too much are dropped first; the sets of all others are compared.
     """
 
+    def possible(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            sizes = sum(np.asarray(batch.column(c), np.int64) for c in (2, 3))
+            one, other = (np.frombuffer(tb.flat(batch.column(c))[0].tobytes(), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+            keep = apart(one, other) <= sizes - 2 * overlap(sizes, similarity)
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    pairs = checkpointed(pairs.mapInArrow(possible, "a long, b long"))
+    release(source.sparkSession)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    slots = wanted.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column("slot")
+    taken = np.zeros(SLOTS, bool)
+    taken[np.asarray(slots.combine_chunks())] = True
+    packed = np.packbits(taken, bitorder="little")
+
     def sets(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
-            body, offsets = tb.flat(batch.column(1))
+            body, offsets = tb.flat(batch.column(0))
             for low, high in tb.pieces(offsets):
                 hashes, at = distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)
-                yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "hashes"])
+                node = set_hashes(hashes, at)
+                slot = node % SLOTS
+                own = np.flatnonzero(packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                yield pa.record_batch([pa.array(node[own]), pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], names=["node", "hashes"])
 
     def compare(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             keep = []
             for one, other in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= int(overlap(np.array(len(x) + len(y)), similarity)))
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= int(overlap(np.array(len(x) + len(y)), similarity)))
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = source.join(known.join(wanted, "node", "left_semi"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
-    found = checkpointed(rows.select("node", "text").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    found = source.select("text").mapInArrow(sets, "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    found = checkpointed(found)
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+
+
+def common_hashes(source: DataFrame, count: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes that most texts of a sample have, sorted, and in how many; source is (id, digest, text)."""
+    sample = source.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, -(-count // SAMPLE)))) == 0).dropDuplicates(["digest"])
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            body, offsets = tb.flat(batch.column(0))
+            for low, high in tb.pieces(offsets):
+                hashes, n = np.unique(distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)[0], return_counts=True)
+                yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    found = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    most = found.orderBy(F.desc("n"), "h").limit(COMMON_ROWS).toArrow()
+    hashes, n = np.asarray(most.column("h").combine_chunks(), np.int64).view(np.uint64), np.asarray(most.column("n").combine_chunks(), np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefixes(hashes: np.ndarray, at: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the first hashes, in one order for all sets, of which any similar set has one; and the offsets.
+
+    The order is by count in the sample, then by hash: which hashes are in a prefix depends on the sample,
+    that similar sets share one doesn't.
+    """
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        rank = np.where(common[0][place] == hashes, common[1][place], 0)
+    own = hashes[np.lexsort((hashes, rank, doc))]
+    length = np.where(n, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1, 0)
+    ends = np.cumsum(length)
+    take = np.repeat(at[:-1] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+    return own[take], np.concatenate([[0], ends])
+
+
+def sharing(tokens: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of one token and two roots whose sets may be similar: by sizes, and by what follows the token.
+
+    The first token that two similar sets share leaves enough of both behind it; a later one needn't.
+    """
+    order = np.lexsort((sizes, tokens))
+    tokens, sizes, roots = tokens[order], sizes[order], roots[order]
+    left = sizes - places[order]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    heads = np.flatnonzero(first)
+    lengths = np.diff(np.append(heads, len(tokens)))
+    a, b = [], []
+
+    def take(one: np.ndarray, other: np.ndarray) -> None:
+        ok = (roots[one] != roots[other]) & (np.minimum(left[one], left[other]) >= overlap(sizes[one] + sizes[other], similarity))
+        a.append(one[ok])
+        b.append(other[ok])
+
+    end = np.repeat(heads + lengths, lengths)
+    end[np.repeat(lengths > RUN, lengths)] = 0
+    for step in range(1, min(RUN, int(lengths.max(initial=1)))):
+        one = np.flatnonzero(np.arange(len(tokens)) + step < end)
+        take(one, one + step)
+    for k in np.flatnonzero(lengths > RUN):
+        low, high = int(heads[k]), int(heads[k] + lengths[k])
+        # the members of the root with the most aren't compared with each other
+        names, of, n = np.unique(roots[low:high], return_inverse=True, return_counts=True)
+        here = np.arange(low, high)
+        most = of == np.argmax(n)
+        for x in here[~most]:
+            take(np.full(high - low, x), here)
+    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+    return order[a], order[b]
 
 
 def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id (then the smallest digest) stays.
 
     Groups are the components of links between texts whose shingle sets have a Jaccard similarity of
-    `similarity` or more. SimHashes of 256 bits only find candidates: those share one of 48 keys of 16
-    bits and are within `reach` bits; each one's sets are then compared. Texts without words are one
-    group; texts are told apart by a 64-bit hash of their sets. Rows
+    `similarity` or more, all of them, in two rounds that compare the sets of each candidate pair. First
+    SimHashes of 256 bits find most links: candidates share one of 48 keys of 16 bits and are within
+    `reach` bits (the pivots of `links_within` discard next to nothing at that many). Then a prefix
+    filter finds the rest exactly: candidates are all pairs of two components so far that share a hash
+    of their prefixes and whose sizes allow the similarity. Texts without words are one group; shingles,
+    and texts by their sets, are told apart by 64-bit hashes. Rows
     with a null id come after all others; of equal rows one stays. All columns of df are returned.
     """
     bounded_batches(df.sparkSession)
@@ -298,16 +414,16 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
             body, offsets = tb.flat(batch.column(2))
             for low, high in tb.pieces(offsets):
                 hashes, at = distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)
-                fps = wide_majority(hashes, at)
-                node = [xxhash.xxh64_intdigest(hashes[a:b].tobytes(), SEED) for a, b in zip(at[:-1], at[1:])]
-                columns = [pa.array(x.view(np.int64)) for x in (np.array(node, np.uint64), *np.ascontiguousarray(fps.T))]
-                yield pa.record_batch([c.slice(low, high - low) for c in batch.columns[:2]] + columns, names=["id", "digest", "node", *names])
+                columns = [pa.array(x.view(np.int64)) for x in (set_hashes(hashes, at), np.diff(at), *np.ascontiguousarray(wide_majority(hashes, at).T))]
+                bits = pa.array([x.tobytes() for x in parities(hashes, at)], pa.binary())
+                yield pa.record_batch([c.slice(low, high - low) for c in batch.columns[:2]] + [bits, *columns], names=["id", "digest", "bits", "node", "size", *names])
 
-    made = checkpointed(source.mapInArrow(prints, "id long, digest string, node long, " + ", ".join(f"{n} long" for n in names)))
+    made = checkpointed(source.mapInArrow(prints, "id long, digest string, bits binary, node long, size long, " + ", ".join(f"{n} long" for n in names)))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
     kinds = made.groupBy("node", *names).agg(first)
-    known = kinds.select("node", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest"))
-    buckets = max(6, -(-kinds.count() * KEYS // WIDE_BUCKET_ROWS))
+    known = made.select("node", "size", "bits").distinct()
+    count = kinds.count()
+    buckets = max(6, -(-count * KEYS // WIDE_BUCKET_ROWS))
 
     def deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, 2500) for whole in tables for k in range(0, whole.num_rows, 2500)):
@@ -327,8 +443,59 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     dealt = kinds.select("node", *names).mapInArrow(deal, "bucket int, keys binary, nodes binary, fps binary")
-    near_pairs = dealt.groupBy("bucket").applyInArrow(near, "a long, b long")
-    roots = components(alike(near_pairs, known, source, shingle=shingle, similarity=similarity)).withColumnRenamed("node", "n")
+    early = components(alike(dealt.groupBy("bucket").applyInArrow(near, "a long, b long"), known, source, shingle=shingle, similarity=similarity))
+    release(df.sparkSession)
+
+    common = common_hashes(source, count, shingle)
+
+    def post(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            body, offsets = tb.flat(batch.column(0))
+            for low, high in tb.pieces(offsets):
+                hashes, at = distinct_hashes(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle)
+                tokens, cuts = prefixes(hashes, at, common, similarity)
+                packed = pa.array([tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                yield pa.record_batch([pa.array(set_hashes(hashes, at)), pa.array(np.diff(at)), packed], names=["node", "size", "tokens"])
+
+    posted = source.select("text").mapInArrow(post, "node long, size long, tokens binary").dropDuplicates(["node"])
+    placed = posted.join(early, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "tokens")
+    token_buckets = max(6, -(-made.count() * 100 // TOKEN_BUCKET_ROWS))
+
+    def deal_tokens(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(k, 2500) for whole in tables for k in range(0, whole.num_rows, 2500)):
+            body, cuts = tb.flat(batch.column(3))
+            tokens, n = np.frombuffer(body.tobytes(), np.uint64), np.diff(cuts) // 8
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(tokens)) - np.repeat(cuts[:-1] // 8, n)
+            every = np.zeros(len(n), SET)
+            every["node"], every["root"], every["size"] = (np.asarray(batch.column(k)) for k in range(3))
+            bucket = (tokens >> np.uint64(32)) % np.uint64(token_buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(token_buckets + 1))
+            full = np.flatnonzero(np.diff(edges))
+            out: list[list[bytes]] = [[], []]
+            for own in (order[edges[b] : edges[b + 1]] for b in full):
+                rows, of = np.unique(row[own], return_inverse=True)
+                post = np.zeros(len(own), POSTING)
+                post["token"], post["place"], post["set"] = tokens[own] & np.uint64(0xFFFFFFFF), place[own], of
+                out[0].append(every[rows].tobytes())
+                out[1].append(post.tobytes())
+            yield pa.record_batch([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["bucket", "sets", "postings"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        sets, posts = (table.column(c).to_pylist() for c in ("sets", "postings"))
+        base = np.cumsum([0, *(len(x) // SET.itemsize for x in sets)])
+        post = np.frombuffer(b"".join(posts), POSTING)
+        own = np.frombuffer(b"".join(sets), SET)
+        at = post["set"] + np.repeat(base[:-1], [len(x) // POSTING.itemsize for x in posts])
+        a, b = sharing(post["token"], own["size"].astype(np.int64)[at], post["place"].astype(np.int64), own["root"][at], similarity)
+        found = np.unique(np.sort(np.stack([own["node"][at[a]], own["node"][at[b]]], axis=1), axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    posts = placed.mapInArrow(deal_tokens, "bucket int, sets binary, postings binary")
+    late = alike(posts.groupBy("bucket").applyInArrow(meet, "a long, b long"), known, source, shingle=shingle, similarity=similarity)
+    release(df.sparkSession)
+    roots = components(early.toDF("a", "b").unionByName(late)).withColumnRenamed("node", "n")
     grouped = kinds.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.id").alias("stay_id"), F.col("first.digest").alias("stay_digest"))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("id"), digest.alias("digest"))
