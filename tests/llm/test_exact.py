@@ -367,6 +367,12 @@ def test_nearest(spark):
     assert [tuple(r) for r in permutation.nearest(few).orderBy("rank").collect()] == [(50, 1, 1, 1.0), (50, 2, 2, 0.0)]
 
 
+def test_nearest_of_an_id_that_repeats(spark):
+    rows = [(0, [1.0, 2.0])] * 8 + [(k, [1.0, 2.0]) for k in (101, 102, 103)] + [(k, [1.0, -float(k)]) for k in range(201, 205)]
+    found = permutation.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=50)
+    assert sorted(r["vec_id"] for r in found.where("query_id = 0").collect()) == [101, 102, 103]
+
+
 def test_chat(spark):
     said = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (2, 0, "system", "x"), (None, None, None, "lost")]
     df = spark.createDataFrame([(*r, 0, 0) for r in said], "conv_id long, turn long, role string, text string, d int, chunk int")

@@ -87,8 +87,9 @@ def nearest(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_id",
     pivots = scaled(pivots)
 
     shards, blocks = max(LEAST_SHARDS, -(-count // SHARD_ROWS)), max(1, -(-(count // max(1, every)) // QUERY_BLOCK))
-    same = Window.partitionBy("v").orderBy("id")
-    kept = fit.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
+    same, own = Window.partitionBy("v").orderBy("id"), Window.partitionBy("v", "id").orderBy("id")
+    kept = fit.withColumn("other", F.dense_rank().over(same)).withColumn("copy", F.row_number().over(own))
+    kept = kept.where((F.col("other") <= k + 1) & (F.col("copy") <= k)).drop("other", "copy")
     over = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     posted = kept.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), over.alias("block"))
     asked = fit.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
