@@ -1,4 +1,4 @@
-"""Analytics over span trees (an extension): depth, self time, latency by name."""
+"""Analytics over span trees (an extension): depth, self time."""
 
 from __future__ import annotations
 
