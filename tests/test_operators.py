@@ -17,7 +17,7 @@ from tracefold.sources import files, http, otlp, traces
 from tracefold.sources.rows import row, tree
 from tracefold.streaming import jobs
 from tracefold.values import bits, fnv1a, value_hash
-from tracefold.wire import Codec
+from tracefold.wire import Codec, wrap
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,22 @@ def test_broken_rows_are_told_apart(spark):
     assert errors[1] is None and all(errors[k] for k in (2, 3, 4))
 
 
+def test_broken_messages_and_formats_are_rows_of_their_own(spark):
+    good = Codec(TRACE).encode(NESTED)
+    bodies = spark.createDataFrame([(1, good), (2, good[:-3]), (3, None)], "batch_id long, body binary")
+    found = codec.pools(bodies)
+    assert {r["batch_id"] for r in found.where("error IS NULL").collect()} == {1}
+    assert sorted(r["batch_id"] for r in found.where("error IS NOT NULL").collect()) == [2, 3]
+    bad = frame(spark, [NESTED, batch(span(name=None))])  # JSON and protocol buffers have a name that is left out, messages don't
+    coded = {r["batch_id"]: r for r in codec.encode(bad, ("proto", "dict", "json")).collect()}
+    assert coded[0]["error"] is None and "dict: " in coded[1]["error"] and "json: " not in coded[1]["error"]
+    assert coded[1]["dict"] is None and coded[1]["proto"] and coded[1]["json"]
+    rows = {(r["batch_id"], r["format"]): r for r in codec.sizes(bad).collect()}
+    assert len(rows) == 14 and rows[1, "dict"]["error"] and rows[1, "dict"]["bytes"] is None and rows[1, "json"]["bytes"] > 0
+    assert codec.timed(bad).where("error IS NOT NULL").count() == 3
+    assert codec.sizes(frame(spark, [NESTED, NESTED]).withColumn("batch_id", F.lit(7).cast("long"))).count() == 14  # ids that repeat
+
+
 def test_pools_of_columns_are_those_of_messages(spark, batches):
     flat = flatten.spans(batches)
     position = F.struct("rs_pos", "ss_pos", "span_pos")
@@ -93,6 +109,19 @@ def test_delta_skips_nulls(spark):
     assert back.where("NOT (v <=> w)").count() == 0
 
 
+def test_deltas_wrap_as_messages_do(spark):
+    edge = [2**63 - 1, -(2**63), 0, None, 2**63 - 1, 2**63 - 1, -(2**63), -1, 1, 2**32, -(2**32), 2**31]
+    rows = spark.createDataFrame([(1, k, v) for k, v in enumerate(edge)], "b long, p long, v long")
+    steps = delta.encode(rows, "v", ["b"], ["p"], "s").orderBy("p").collect()
+    last, want = 0, []
+    for v in edge:
+        want.append(None if v is None else wrap(v - last))
+        last = last if v is None else v
+    assert [r["s"] for r in steps] == want
+    back = delta.decode(spark.createDataFrame(steps), "s", ["b"], ["p"], "w")
+    assert back.where("NOT (v <=> w)").count() == 0
+
+
 def test_hashes(spark):
     texts, numbers = ["", "a", "foobar", "é", None], [0.0, -0.0, 1.5, float("nan"), None]
     rows = spark.createDataFrame([(k, s, d) for k, (s, d) in enumerate(zip(texts, numbers))], "k int, s string, d double").orderBy("k")
@@ -137,22 +166,50 @@ def test_files_and_streams(spark, tmp_path, batches):
     query = jobs.encode_stream(jobs.message_batches(spark, spool), f"{tmp_path}/out2", f"{tmp_path}/dead2", f"{tmp_path}/cp2")
     query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out2").count() == 10
+    one = Codec(TRACE).encode(NESTED)
+    for name in ("0-late_out", "zz_out"):  # before and after all others by name, and later than they
+        files.store_file(spool, name, one)
+    jobs.encode_stream(jobs.message_batches(spark, spool), f"{tmp_path}/out2", f"{tmp_path}/dead2", f"{tmp_path}/cp2").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out2").count() == 12
+    assert files.file_name("dict") != files.file_name("dict")
+    (tmp_path / "twice").mkdir()
+    (tmp_path / "twice" / "a.txt").write_text('{"resourceSpans": []}\n' * 3)
+    assert traces.read_json_lines(spark, f"{tmp_path}/twice").select("batch_id").distinct().count() == 3
 
 
 def test_bounded_batches(spark):
     rows = spark.range(25).select((F.col("id") % 2).alias("g"), F.col("id").alias("at"))
     sizes = flatten.batched(rows, 5, "g", ("at",)).groupBy("g", "batch_no").count().collect()
     assert sorted(r["count"] for r in sizes) == [2, 3, 5, 5, 5, 5]
+    hot = spark.range(5000).select(F.lit("g").alias("g"), (F.lit(5000) - F.col("id")).alias("at"), F.lit(1).alias("held"))
+    found = flatten.batched(hot, 100, "g", ("at",))
+    assert found.columns == ["g", "at", "held", "batch_no"] and found.where("batch_no <> floor((at - 1) / 100)").count() == 0
 
 
 def test_trees(spark):
     spans = spark.createDataFrame([("t", "a", None, 10), ("t", "b", "a", 4), ("t", "c", "b", 9), ("t", "x", "gone", 1), ("t", "y", "z", 1), ("t", "z", "y", 1)], "t string, s string, p string, n long").toDF("trace", "span", "parent", "nanos")
     depths = {r["span"]: r["depth"] for r in tree_operators.depth(spans, "trace", "span", "parent").collect()}
     assert depths == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
+    broken = {r["span"]: r["broken"] for r in tree_operators.depth(spans, "trace", "span", "parent").collect()}
+    assert broken == {"a": None, "b": None, "c": None, "x": "missing", "y": "circle", "z": "circle"}
     own = {r["span"]: r["self_nanos"] for r in tree_operators.self_time(spans, "trace", "span", "parent", "nanos").collect()}
     assert own == {"a": 6, "b": 0, "c": 9, "x": 1, "y": 0, "z": 0}
 
 
+def test_depths_of_long_and_wide_traces(spark):
+    chain = [("chain", k, k - 1 if k else None) for k in range(1000)]
+    star = [("star", k, 0 if k else None) for k in range(2000)]
+    lost = [("lost", k, k - 1) for k in range(40)]
+    ring = [("ring", k, (k + 1) % 7) for k in range(7)] + [("ring", k, k - 1) for k in range(7, 50)]
+    spans = spark.createDataFrame(chain + star + lost + ring, "trace string, span long, parent long")
+    found = tree_operators.depth(spans, "trace", "span", "parent")
+    rows = {(r["trace"], r["span"]): (r["depth"], r["broken"]) for r in found.collect()}
+    assert len(rows) == 3090
+    for (trace, k), got in rows.items():
+        assert got == {"chain": (k, None), "star": (min(k, 1), None), "lost": (None, "missing"), "ring": (None, "circle")}[trace]
+    assert tree_operators.depth(spans.limit(0), "trace", "span", "parent").count() == 0
+
+
 def test_console(spark, sf_dir, tmp_path, capfd):
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")

@@ -1,6 +1,7 @@
 """Whole batches to bytes and back, as columns: one row is one batch, so no rows are shuffled.
 
-A row that can't be written or read gets a null and a text in `error`; it never fails the job.
+What can't be written or read is null, with a text in `error`; it never fails the job, and a format that
+fails leaves the row's others as they are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracefold.definition import BATCHES, TRACE, Definition
 from tracefold.sources import otlp
 from tracefold.sources.rows import row, tree
+from tracefold.values import canonical
 from tracefold.wire import Codec, Options
 
 #: Names of the formats, in which a batch can be written.
@@ -85,12 +87,22 @@ def _each(batches: Iterator[pa.RecordBatch], work: Callable[[dict], dict], names
             yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], t) for n, t in columns.items()})
 
 
+def _tried(work: Callable[[], object]) -> tuple[object, str | None]:
+    """What some work gave, or else its error."""
+    try:
+        return work(), None
+    except Exception as error:  # a format's own fault is its result
+        return None, f"{type(error).__name__}: {error}"
+
+
 def encode(batches: DataFrame, forms: tuple[str, ...] = ("dict",), options: Options = Options()) -> DataFrame:
     """(batch_id, one binary column for each format, error)."""
 
     def work(held: dict) -> dict:
         value = tree(held)
-        return {form: written(value, form, options) for form in forms}
+        made = {form: _tried(lambda: written(value, form, options)) for form in forms}
+        faults = [f"{form}: {error}" for form, (_, error) in made.items() if error]
+        return {form: body for form, (body, _) in made.items()} | {"error": "; ".join(faults) or None}
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _each(rows, work, list(forms), [pa.binary()] * len(forms))
@@ -111,47 +123,62 @@ def decode(bodies: DataFrame, form: str = "dict", options: Options = Options(),
     return bodies.select("batch_id", F.col(column).alias("body")).mapInArrow(run, schema)
 
 
-def timed(batches: DataFrame, options: Options = Options()) -> DataFrame:
-    """(batch_id, format, bytes, write_nanos, read_nanos): what each format takes, whole frames flushed. For measurement; times vary."""
+_TAKEN = pa.list_(pa.struct([("format", pa.string()), ("bytes", pa.int64()), ("write_nanos", pa.int64()), ("read_nanos", pa.int64()), ("error", pa.string())]))
+
+
+def _measured(batches: DataFrame, options: Options, back: bool) -> DataFrame:
+    """(batch_id, spans, plain, format, bytes, write_nanos, read_nanos, error): a row for each batch and format.
+
+    plain is the size as plain protocol buffers. A batch that is no batch has a row without a format.
+    """
 
     def work(held: dict) -> dict:
         value, out = tree(held), []
         for form in FORMATS:
             began = time.perf_counter_ns()
-            body = written(value, form, options)
+            body, error = _tried(lambda: written(value, form, options))
             done = time.perf_counter_ns()
-            read(body, form, options)
-            out.append({"format": form, "bytes": len(body), "write_nanos": done - began, "read_nanos": time.perf_counter_ns() - done})
-        return {"taken": out}
-
-    kind = pa.list_(pa.struct([("format", pa.string()), ("bytes", pa.int64()), ("write_nanos", pa.int64()), ("read_nanos", pa.int64())]))
+            if back and error is None:
+                error = _tried(lambda: read(body, form, options))[1]
+            out.append({"format": form, "bytes": None if body is None else len(body), "write_nanos": done - began, "read_nanos": time.perf_counter_ns() - done if back else None, "error": error})
+        spans = sum(len(s["spans"] or ()) for r in value["resourceSpans"] or () for s in r["scopeSpans"] or ())
+        return {"spans": spans, "plain": out[FORMATS.index("proto")]["bytes"], "taken": out}
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _each(rows, work, ["taken"], [kind])
+        return _each(rows, work, ["spans", "plain", "taken"], [pa.int64(), pa.int64(), _TAKEN])
+
+    taken = batches.select(*BATCHES.names).mapInArrow(run, "batch_id long, spans long, plain long, taken array<struct<format: string, bytes: bigint, write_nanos: bigint, read_nanos: bigint, error: string>>, error string")
+    each = taken.select("batch_id", "spans", "plain", F.col("error").alias("fault"), F.explode_outer("taken").alias("e"))
+    return each.select("batch_id", "spans", "plain", "e.format", "e.bytes", "e.write_nanos", "e.read_nanos", F.coalesce("fault", "e.error").alias("error"))
 
-    taken = batches.select(*BATCHES.names).mapInArrow(run, "batch_id long, taken array<struct<format: string, bytes: bigint, write_nanos: bigint, read_nanos: bigint>>, error string")
-    return taken.where("error IS NULL").select("batch_id", F.explode("taken").alias("e")).select("batch_id", "e.*")
+
+def timed(batches: DataFrame, options: Options = Options()) -> DataFrame:
+    """(batch_id, format, bytes, write_nanos, read_nanos, spans, error): what each format takes, whole frames flushed. For measurement; times vary."""
+    return _measured(batches, options, True).select("batch_id", "format", "bytes", "write_nanos", "read_nanos", "spans", "error")
+
+
+def sizes(batches: DataFrame, options: Options = Options()) -> DataFrame:
+    """(batch_id, spans, format, bytes, bytes_per_span, ratio, error): each format's size against plain protocol buffers."""
+    rows = _measured(batches, options, False)
+    return rows.select("batch_id", "spans", "format", "bytes", (F.col("bytes") / F.nullif("spans", F.lit(0))).alias("bytes_per_span"), (F.col("plain") / F.nullif("bytes", F.lit(0))).alias("ratio"), "error")
+
+
+_ENTRIES = pa.list_(pa.struct([("pool", pa.string()), ("idx", pa.int64()), ("key", pa.string())]))
 
 
 def pools(bodies: DataFrame, options: Options = Options(), column: str = "body") -> DataFrame:
-    """(batch_id, pool, idx, key) of the dictionaries in messages, the string table as pool "strings"."""
-    from tracefold.values import canonical
+    """(batch_id, pool, idx, key, error) of the dictionaries in messages, the string table as pool "strings".
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for held in batch.to_pylist():
-                strings, found, _ = _trace_codec(options).parts(held["body"])
-                entries = [("strings", i, canonical(s)) for i, s in enumerate(strings)] + [(p, i, canonical(v)) for p, vs in found.items() for i, v in enumerate(vs)]
-                yield pa.record_batch([pa.array([held["batch_id"]] * len(entries), pa.int64()), *(pa.array([e[k] for e in entries], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string())))], names=["batch_id", "pool", "idx", "key"])
+    A message that can't be read has one row with its error; one without entries has none.
+    """
 
-    return bodies.select("batch_id", F.col(column).alias("body")).mapInArrow(run, "batch_id long, pool string, idx long, key string")
+    def work(held: dict) -> dict:
+        strings, found, _ = _trace_codec(options).parts(held["body"])
+        return {"entries": [{"pool": p, "idx": i, "key": canonical(v)} for p, vs in [("strings", strings), *found.items()] for i, v in enumerate(vs)]}
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each(rows, work, ["entries"], [_ENTRIES])
 
-def sizes(batches: DataFrame, options: Options = Options()) -> DataFrame:
-    """(batch_id, spans, format, bytes, bytes_per_span, ratio): each format's size against plain protocol buffers."""
-    coded = encode(batches, FORMATS, options)
-    count = F.coalesce(F.aggregate("resourceSpans", F.lit(0), lambda n, r: n + F.aggregate(r["scopeSpans"], F.lit(0), lambda m, s: m + F.size(s["spans"]))), F.lit(0))
-    counts = batches.select("batch_id", count.cast("long").alias("spans"))
-    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("format"), F.octet_length(f).cast("long").alias("bytes")) for f in FORMATS)))
-    rows = coded.select("batch_id", F.octet_length("proto").alias("plain"), listed.alias("e")).join(counts, "batch_id")
-    return rows.select("batch_id", "spans", "e.format", "e.bytes", (F.col("e.bytes") / F.nullif("spans", F.lit(0))).alias("bytes_per_span"), (F.col("plain") / F.nullif("e.bytes", F.lit(0))).alias("ratio"))
+    found = bodies.select("batch_id", F.col(column).alias("body")).mapInArrow(run, "batch_id long, entries array<struct<pool: string, idx: bigint, key: string>>, error string")
+    each = found.select("batch_id", "error", F.explode_outer("entries").alias("e")).where("error IS NOT NULL OR e IS NOT NULL")
+    return each.select("batch_id", "e.pool", "e.idx", "e.key", "error")

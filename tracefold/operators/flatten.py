@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tracefold.definition import BATCHES
 from tracefold.functions.scalars import elide, restore
+from tracefold.shared import checkpointed
 
 _SCOPE_SPANS = BATCHES["resourceSpans"].dataType.elementType["scopeSpans"].dataType.elementType
 SPAN: T.StructType = _SCOPE_SPANS["spans"].dataType.elementType
@@ -85,6 +86,17 @@ def to_protocol(flat: DataFrame) -> DataFrame:
 
 
 def batched(flat: DataFrame, most: int, by: str, order: tuple[str, ...]) -> DataFrame:
-    """Numbers batches of at most `most` rows within each value of `by`, so that no batch outgrows a task."""
-    place = Window.partitionBy(by).orderBy(*order)
-    return flat.withColumn("batch_no", F.floor((F.row_number().over(place) - 1) / most))
+    """Numbers batches of at most `most` rows within each value of `by`, so that no batch outgrows a task.
+
+    Rows are dealt by ranges of (by, order), and numbered within a range; totals of the ranges give each its
+    first number. So a value of `by` that holds most rows is spread, as far as its order tells rows apart.
+    """
+    held = F.struct(*(F.col(f"`{c}`") for c in flat.columns))
+    ranged = flat.select(F.col(by).alias("by"), F.struct(*order).alias("at"), held.alias("held")).repartitionByRange("by", "at")
+    dealt = checkpointed(ranged.withColumn("part", F.spark_partition_id()))  # ranges are drawn anew each time they are asked for
+    totals = dealt.groupBy("by", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = totals.select(F.col("by").alias("own"), F.col("part").alias("own_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = dealt.withColumn("k", F.row_number().over(Window.partitionBy("by", "part").orderBy("at")))
+    rows = placed.join(firsts, F.col("by").eqNullSafe(F.col("own")) & (F.col("part") == F.col("own_part")))
+    return rows.select("held.*", F.floor((F.col("first") + F.col("k") - 1) / most).alias("batch_no"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracefold.definition import STRING, TRACE, pool_order
+from tracefold.definition import DOUBLE, INTEGER, NAMES, STRING, TRACE, DefinitionError, dump, load, pool_order, resolve, same
 from tracefold.functions import scalars as fn
 from tracefold.operators import codec, delta, dictionary, flatten, tree
 from tracefold.sources import traces
@@ -235,17 +236,76 @@ def fnv_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", listed.alias("listed"), fn.fnv1a_map(F.create_map(F.lit("s"), b, F.lit("n"), a)).alias("mapped"))
 
 
-@query()
+@query(f"SELECT p_partkey, {_fnv_sql(_LONG_SQL.format('(p_retailprice::BIT)::BIGINT'))} AS h FROM part")
 def fnv_double(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", fn.fnv1a_double(F.col("p_retailprice")).alias("h"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}')" for k, p in enumerate(pool_order(TRACE))) + ") t(idx, pool)")
+#: Written out, so that the order is not told by the code that it checks. {r}, {s} and {x} are the paths of resources, scopes and spans.
+_POOLS_SQL = """SELECT idx, replace(replace(replace(pool, '{x}', '{s} item spans item'), '{s}', '{r} item scopeSpans'), '{r}', 'resourceSpans') AS pool FROM (VALUES
+(0, '{r} item resource attributes'), (1, '{r} item resource'), (2, '{r} item schemaUrl'), (3, '{s} item schemaUrl'),
+(4, '{s} item scope attributes'), (5, '{s} item scope name'), (6, '{s} item scope version'), (7, '{s} item scope'),
+(8, '{x} attributes'), (9, '{x} events item attributes'), (10, '{x} events item name'), (11, '{x} links item attributes'),
+(12, 'spanId'), (13, 'traceId'), (14, 'traceState'), (15, '{x} links item'),
+(16, '{x} name'), (17, '{x} status message'), (18, '{x} status')) t(idx, pool)"""
+
+
+@query(_POOLS_SQL)
 def pool_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionaries of a trace batch, children first."""
     return spark.createDataFrame(list(enumerate(pool_order(TRACE))), "idx int, pool string")
 
 
+@query("""SELECT * FROM (VALUES ('resourceSpans', 'Array', true, false, NULL), ('resourceSpans item scopeSpans item spans item startTimeUnixNano', 'Integer', false, true, NULL),
+('resourceSpans item scopeSpans item spans item kind', 'Integer', true, false, NULL), ('resourceSpans item scopeSpans item spans item traceId', 'Bytes', false, false, 'traceId'),
+('resourceSpans item scopeSpans item spans item parentSpanId', 'Bytes', true, false, 'spanId'), ('spanId', 'Bytes', true, false, 'spanId'), ('traceState', 'String', true, false, 'traceState'),
+('resourceSpans item scopeSpans item spans item status code', 'Integer', false, false, NULL), ('resourceSpans item scopeSpans item spans item events item timeUnixNano', 'Integer', true, true, NULL),
+('resourceSpans item resource attributes', 'Object', true, false, 'resourceSpans item resource attributes'), ('no such path', NULL, NULL, NULL, NULL)) t(path, kind, nullable, diff, pool)""")
+def definition_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that paths and names of shared pools resolve to, in the trace definition read back from its JSON."""
+    known = load(json.dumps(dump(TRACE)))
+    if not same(known, TRACE):
+        raise DefinitionError("the definition isn't what its JSON says")
+    spans, rows = "resourceSpans item scopeSpans item spans item", []
+    wanted = ("resourceSpans", f"{spans} startTimeUnixNano", f"{spans} kind", f"{spans} traceId", f"{spans} parentSpanId", "spanId", "traceState", f"{spans} status code", f"{spans} events item timeUnixNano", "resourceSpans item resource attributes", "no such path")
+    for path in wanted:
+        node = resolve(known, path)
+        rows.append((path, NAMES[node.type], node.nullable, node.diff, node.pool(path)) if node else (path, None, None, None, None))
+    return spark.createDataFrame(rows, "path string, kind string, nullable boolean, diff boolean, pool string")
+
+
+@query("SELECT event_id, event_type AS name, value FROM events WHERE value IS NOT NULL")
+def required_and_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that went through the checks for null and for type; a row that fails one ends the query."""
+    rows = _table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    held = fn.of_type(fn.tagged(F.col("value"), DOUBLE), DOUBLE)["d"]
+    return rows.select("event_id", fn.required(F.col("event_type"), "name").alias("name"), fn.required(held, "value").alias("value"))
+
+
+@query(f"SELECT batch, string_agg(key, '|' ORDER BY idx) AS keys FROM ({_pool_sql(_E, 'batch', 'event_type', 'event_id')}) GROUP BY batch")
+def pool_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole dictionaries, in order."""
+    seen = dictionary.occurrences(_events(spark, sf_dir), F.col("batch"), "name", F.col("event_type"), F.col("event_id"))
+    return dictionary.dumped(dictionary.assign(seen)).select("batch", F.array_join("keys", "|").alias("keys"))
+
+
+@query("SELECT o_orderkey, true AS other_order, o_orderstatus = o_orderpriority AS other_value, false AS other_type FROM orders")
+def attribute_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether keys of attribute maps are equal: entries in another order, another value, and one of another type."""
+
+    def key(*pairs: tuple[str, Column]) -> Column:
+        return fn.attributes_key(F.create_map(*(x for name, value in pairs for x in (F.lit(name), value))))
+
+    status, priority, number = (fn.tagged(F.col("o_orderstatus"), STRING), fn.tagged(F.col("o_orderpriority"), STRING), fn.tagged(F.col("o_orderkey"), INTEGER))
+    base = key(("status", status), ("number", number))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (base == key(("number", number), ("status", status))).alias("other_order"),
+        (base == key(("status", priority), ("number", number))).alias("other_value"),
+        (base == key(("status", status), ("number", fn.tagged(F.col("o_orderkey").cast("string"), STRING)))).alias("other_type"),
+    )
+
+
 _EVENT_SPANS = "SELECT event_id // 500 AS batch_id, (event_id % 500)::INT AS span_pos, event_type AS name, epoch_us(ts) * 1000 AS start_nanos, event_id FROM events"
 
 
@@ -269,10 +329,22 @@ def rebuild_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that went through messages."""
     bodies = codec.encode(traces.event_batches(spark, sf_dir))
-    flat = flatten.spans(codec.decode(bodies, column="dict").where("error IS NULL"))
+    flat = flatten.spans(codec.decode(bodies, column="dict"))
     return flat.select("batch_id", "span_pos", "name", F.col("startTimeUnixNano").alias("start_nanos"))
 
 
+@query(f"SELECT form, batch_id, span_pos, name, start_nanos FROM ({_EVENT_SPANS}), (VALUES ('dict_zstd'), ('dict_gzip')) f(form)")
+def wire_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that went through compressed messages, by format."""
+    bodies = codec.encode(traces.event_batches(spark, sf_dir), ("dict_zstd", "dict_gzip"))
+    whole = None
+    for form in ("dict_zstd", "dict_gzip"):
+        flat = flatten.spans(codec.decode(bodies, form, column=form))
+        part = flat.select(F.lit(form).alias("form"), "batch_id", "span_pos", "name", F.col("startTimeUnixNano").alias("start_nanos"))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 _ORDER_SPANS = "SELECT o_orderkey // 500 AS batch_id, row_number() OVER (PARTITION BY o_orderkey // 500 ORDER BY o_orderkey) - 1 AS span_pos, * FROM orders"
 _ORDER_EVENTS = f"""SELECT batch_id, span_pos::INT AS span_pos, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(traces.LINE_ORDER[1:])}) - 1)::INT AS event_pos,
   epoch_us(l_shipdate) * 1000 AS nanos, l_returnflag AS name, l_linestatus AS status FROM ({_ORDER_SPANS}) JOIN lineitem ON l_orderkey = o_orderkey"""
@@ -291,13 +363,13 @@ def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that went through messages: differences of their times are of either sign and any length."""
     bodies = codec.encode(traces.order_batches(spark, sf_dir))
-    return _event_rows(flatten.spans(codec.decode(bodies, column="dict").where("error IS NULL")))
+    return _event_rows(flatten.spans(codec.decode(bodies, column="dict")))
 
 
 @query(f"SELECT batch_id, span_pos::INT AS span_pos, lpad(lower(hex(o_custkey)), 32, '0') AS trace_id, lpad(lower(hex(o_custkey)), 16, '0') AS span_id FROM ({_ORDER_SPANS})")
 def wire_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = codec.encode(traces.order_batches(spark, sf_dir))
-    found = flatten.links(flatten.spans(codec.decode(bodies, column="dict").where("error IS NULL")))
+    found = flatten.links(flatten.spans(codec.decode(bodies, column="dict")))
     return found.select("batch_id", "span_pos", F.lower(F.hex("traceId")).alias("trace_id"), F.lower(F.hex("spanId")).alias("span_id"))
 
 
@@ -327,7 +399,7 @@ def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nanoseconds that each format took to write and read, over all batches."""
     taken = codec.timed(traces.event_batches(spark, sf_dir))
-    return taken.groupBy("format").agg(F.sum("bytes").alias("bytes"), F.sum("write_nanos").alias("write_nanos"), F.sum("read_nanos").alias("read_nanos"))
+    return taken.groupBy("format").agg(F.sum("spans").alias("spans"), F.sum("bytes").alias("bytes"), F.sum("write_nanos").alias("write_nanos"), F.sum("read_nanos").alias("read_nanos"), F.count("error").alias("errors"))
 
 
 @query("SELECT event_id // 500 AS batch_id, count(*) AS spans, true AS read_back FROM events GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Messages in files: a Spark data source that reads, streams and writes one file for each message.
+"""Messages in files: a Spark data source that reads and writes one file for each message, and a stream of them.
 
 Paths are URIs that pyarrow can open (local and mounted folders, hdfs:, s3:, gs:). Files are written
 under a hidden name and moved, so that readers see whole files only; a task that is run again writes
@@ -8,12 +8,14 @@ the same names.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "trace_messages"
@@ -44,8 +46,8 @@ def store_file(uri: str, name: str, body: bytes) -> None:
 
 
 def file_name(form: str, number: int | None = None) -> str:
-    """<nanoseconds>_<suffix of the format>."""
-    return f"{time.time_ns() if number is None else number}_{SUFFIXES[form]}"
+    """<number>_<suffix of the format>; the number is the time in nanoseconds and something that no other name has, unless one is told."""
+    return f"{f'{time.time_ns()}-{uuid.uuid4().hex}' if number is None else number}_{SUFFIXES[form]}"
 
 
 @dataclass
@@ -83,25 +85,6 @@ class _Reader(DataSourceReader):
         return _rows(self.uri, partition)
 
 
-class _Stream(DataSourceStreamReader):
-    """New files by name: names have to grow, as those of file_name do. Executors read them, in partitions."""
-
-    def __init__(self, uri: str, size: int):
-        self.uri, self.size = uri, size
-
-    def initialOffset(self) -> dict:
-        return {"name": ""}
-
-    def latestOffset(self) -> dict:
-        return {"name": max((p.rpartition("/")[2] for p, _ in listed(self.uri)), default="")}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return _parts([f for f in listed(self.uri) if start["name"] < f[0].rpartition("/")[2] <= end["name"]], self.size)
-
-    def read(self, partition: _Files) -> Iterator[tuple[str, bytes]]:
-        return _rows(self.uri, partition)
-
-
 @dataclass
 class _Done(WriterCommitMessage):
     names: list[str]
@@ -137,9 +120,6 @@ class TraceMessages(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options.get("partitionBytes", 64 << 20)))
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("partitionBytes", 64 << 20)))
-
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
 
@@ -147,3 +127,14 @@ class TraceMessages(DataSource):
 def register(spark: SparkSession) -> None:
     """Makes the data source known to a session."""
     spark.dataSource.register(TraceMessages)
+
+
+def stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """(name, body) of the files of a folder as they land, whatever their names and times.
+
+    Spark's file source keeps the names that it has read in the query's checkpoint. Files that are deleted
+    before they are read are passed over.
+    """
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = source.option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("body"))

@@ -12,9 +12,14 @@ from tracefold.sources.files import NAME, SUFFIXES
 from tracefold.wire import Options
 
 
+def line_id(*more: Column) -> Column:
+    """batch_id of a line of a text source: by its file, its text and what else tells equal lines apart."""
+    return F.xxhash64("_metadata.file_path", "value", *more).alias("batch_id")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Batches of a text table, one JSON text a line: batch_id by content, resourceSpans, error."""
-    lines = spark.read.text(path).select(F.xxhash64("value").alias("batch_id"), F.encode("value", "UTF-8").alias("body"))
+    """Batches of a text table, one JSON text a line: batch_id (equal lines have ids of their own), resourceSpans, error."""
+    lines = spark.read.text(path).select(line_id(F.monotonically_increasing_id()), F.encode("value", "UTF-8").alias("body"))
     return codec.decode(lines, "json")
 
 

@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.operators import codec
-from tracefold.sources.files import NAME
+from tracefold.sources.files import stream
 from tracefold.sources.http import post
+from tracefold.sources.traces import line_id
 from tracefold.wire import Options
 
 
 def text_batches(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """A stream of batches from JSON lines that land in a folder."""
+    """A stream of batches from JSON lines that land in a folder; equal lines of one file share a batch_id, and their messages are equal."""
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(path)
-    return codec.decode(lines.select(F.xxhash64("value").alias("batch_id"), F.encode("value", "UTF-8").alias("body")), "json")
+    return codec.decode(lines.select(line_id(), F.encode("value", "UTF-8").alias("body")), "json")
 
 
 def message_batches(spark: SparkSession, spool: str, options: Options = Options()) -> DataFrame:
-    """A stream of batches from the spool that an HTTP receiver fills; files.register(spark) comes first."""
-    found = spark.readStream.format(NAME).option("path", spool).load()
+    """A stream of batches from the spool that an HTTP receiver fills; batch_id is by file name."""
+    found = stream(spark, spool)
     return codec.decode(found.select(F.xxhash64("name").alias("batch_id"), "body"), "dict", options)
 
 
