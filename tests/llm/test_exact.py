@@ -115,6 +115,34 @@ def test_simhash(docs, rows):
     assert Counter((r["id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_copies(docs).collect()) == want
 
 
+def linked(fps, groups=None):
+    refs, own = simhash.references(groups or simhash.groups_for(len(fps), 4))
+    found = []
+    for keys in simhash.cells(simhash.distances(fps, refs), own, 4):
+        a, b = simhash.links_within(keys, fps[:, None], fps, refs[::-1, None], 4)
+        found += list(zip(a.tolist(), b.tolist()))
+    return found
+
+
+@pytest.mark.parametrize("groups", [6, 8])
+def test_cells_of_the_pivot_table(groups):
+    rng = np.random.default_rng(groups)
+    fps = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    refs, own = simhash.references(groups)
+    table = simhash.distances(fps, refs)
+    assert table.tolist()[5][:20] == [int(f ^ refs[5]).bit_count() for f in fps[:20]]
+    keys = simhash.cells(table, own, 4)
+    for k in range(1, 5):  # whatever 4 bits change, a cell stays
+        other = fps.copy()
+        for _ in range(k):
+            other ^= np.uint64(1) << rng.integers(0, 64, len(fps), dtype=np.uint64)
+        assert (simhash.cells(simhash.distances(other, refs), own, 4) == keys).any(0).all()
+    # without references all are in one cell; with them few unrelated ones share one
+    assert len(np.unique(simhash.cells(table[:1].repeat(65, 0), own, 4)[0])) == 1
+    assert len(np.unique(keys[0])) > 2900
+    assert not linked(fps, groups)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 120), st.sampled_from([1, 3, 200]), st.integers(0, 5))
 def test_links_have_the_components_of_all_pairs(seed, n, centres, flips):
@@ -123,10 +151,7 @@ def test_links_have_the_components_of_all_pairs(seed, n, centres, flips):
     for _ in range(flips):
         fps ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
     fps = np.unique(fps)
-    found = []
-    for mask in simhash.masks(simhash.groups_for(len(fps), 4), 4):
-        a, b = simhash.links_within(fps & np.uint64(mask), fps[:, None], 4)
-        found += list(zip(a.tolist(), b.tolist()))
+    found = linked(fps)
     want = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
     assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in want}
     assert groups(found, range(len(fps))) == groups(want, range(len(fps)))
