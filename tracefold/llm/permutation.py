@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its PREFIX nearest of PIVOTS pivot vectors, in order. Rows are dealt into
-shards; each shard posts its vectors in an inverted file by pivot, with their rank there. A query
-walks the postings of its own pivots and adds up 2 * (PREFIX - larger rank), which is a constant less
-the footrule distance of the two prefixes (a pivot that is missing from one counts as rank PREFIX).
-The best SHARE of a shard (LEAST vectors at least, and all that tie with the last) are reranked by the
-cosine of the original vectors in double precision, and the best of all shards are the result.
+A vector is represented by its PREFIX nearest of PIVOTS pivot vectors (half the vectors, if those are
+fewer), in order. Rows are dealt into shards; each shard posts its vectors in an inverted file by pivot,
+with their rank there. A query reads the lists of its own pivots only and adds up 2 * (PREFIX - larger
+rank), which is a constant less the footrule distance of the two prefixes (a pivot that is missing from
+one counts as rank PREFIX). The nearest SHARE of a shard (k + 1 at least, and all that tie with the last)
+are reranked by the cosine of the original vectors in double precision, and the best of all shards are
+the result. SHARE is the same at all sizes.
 
 Queries are a stated set of rows; they meet every shard in blocks of at most QUERY_BLOCK, so a task
 holds one shard and one block. Equal vectors are indexed `k` + 1 times at most, smallest ids first,
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, PREFIX = 256, 64
-#: Share of a shard's vectors that is reranked, and how many at least.
-SHARE, LEAST = 0.15, 300
+PIVOTS, PREFIX = 512, 64
+#: Share of a shard's vectors that is reranked.
+SHARE = 0.15
 SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 20_000, 6, 20_000
 
 
@@ -83,7 +84,7 @@ def nearest(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     count = sizes[0]["n"]
     fit = fit.where(F.size("v") == sizes[0]["d"])
-    pivots = _matrix(fit.orderBy(F.md5(F.col("id").cast("string")), "v").limit(PIVOTS).toArrow().column("v"))
+    pivots = _matrix(fit.orderBy(F.md5(F.col("id").cast("string")), "v").limit(min(PIVOTS, max(1, count // 2))).toArrow().column("v"))
     pivots = scaled(pivots)
 
     shards, blocks = max(LEAST_SHARDS, -(-count // SHARD_ROWS)), max(1, -(-(count // max(1, every)) // QUERY_BLOCK))
@@ -104,7 +105,7 @@ def nearest(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_id",
             ids, x = ids[order], x[order]
             names, q = np.asarray(queries.column("id"), np.int64), scaled(_matrix(queries.column("v")))
             index = InvertedFile(prefixes(x, pivots), len(pivots))
-            want = min(len(ids), max(LEAST, int(share * len(ids))))
+            want = min(len(ids), max(k + 1, int(np.ceil(share * len(ids)))))
             for name, one, order in zip(names, q, prefixes(q, pivots)):
                 close = index.closeness(order)
                 last = np.partition(close, len(close) - want)[len(close) - want]
