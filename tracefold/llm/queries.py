@@ -93,19 +93,23 @@ SELECT conv_id, perspective, seq, turn, speaker, rendered, start, CASE WHEN spea
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark)).withColumnRenamed("key", "doc_id")
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_digests(spark)).withColumnRenamed("key", "doc_id")
 
 
 def _license_form(column: str) -> str:
     out = f"translate(coalesce({column}, ''), '{licenses.UPPER}{licenses.MARKS}', '{licenses.LOWER}{' ' * len(licenses.MARKS)}')"
-    out = f"regexp_replace({out}, '(^|\\n)[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(^|\\n)[^a-z0-9\\n]*(copyright[ :]*(\\(c\\)|©|[0-9<\\[])|\\(c\\)|©|all rights reserved)[^\\n]*', chr(10), 'g')"
     for spelling, plain in licenses.SPELLINGS:
         out = f"replace({out}, '{spelling}', '{plain}')"
     return f"regexp_replace({out}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
 
 
 def _license_digest(form: str) -> str:
-    return f"sha256(trim(regexp_replace({form}, '[ \\n]+', ' ', 'g')))"
+    out = f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
+    for spelling, plain in licenses.SPELLINGS:
+        if " " in spelling:
+            out = f"replace({out}, '{spelling}', '{plain}')"
+    return f"sha256({out})"
 
 
 def _quoted(text: str) -> str:
@@ -113,7 +117,8 @@ def _quoted(text: str) -> str:
 
 
 OP7_SQL = f"""
-WITH known AS (SELECT DISTINCT name, {_license_digest(_license_form("t"))} AS digest FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) v(name, t)),
+WITH known AS (SELECT DISTINCT name, {_license_digest(_license_form("t"))} AS digest FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) v(name, t)
+  UNION SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, '{d}')" for n, d, _ in licenses.listed())}) w(name, digest)),
 named AS (SELECT digest, string_agg(DISTINCT name, ',' ORDER BY name) AS license FROM known GROUP BY digest),
 d AS (SELECT row_number() OVER () AS row, doc_id, {_license_form("text")} AS form FROM documents),
 l AS (SELECT row, sha256(trim(unnest(string_split(form, chr(10))))) AS digest FROM d),
