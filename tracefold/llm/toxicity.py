@@ -3,8 +3,9 @@
 Document labels first become token labels. Features of a token are its lower-cased word and the
 word's first 4 to 8 bytes; features that are in toxic texts far more often than chance allows are
 picked, and tokens of toxic texts that have a picked feature are labelled. The CRF learns those labels over sentences, and forward-backward marginals give
-each token's probability. A logistic map of a text's largest marginal log odds and its expected
-number of toxic tokens, fitted on labelled texts that the CRF hasn't seen, is the score.
+each token's probability. A logistic map of a text's largest marginal log odds, its expected number of
+toxic tokens and its length, fitted on labelled texts that the CRF hasn't seen, is the score. There each
+class weighs as much as it does among all labels, so that a score is a probability over the table.
 
 The sample that is learned from is bounded by SAMPLE_ROWS rows a class and SAMPLE_BYTES of text, drawn
 by a hash of the id; scoring covers all rows and whole texts, in one pass without a shuffle.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tracefold.llm import textblocks as tb
 from tracefold.llm.columns import carried
 from tracefold.llm.crf import Chains, Model, marginal_log_odds
+from tracefold.shared import checkpointed
 
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -114,9 +116,9 @@ def token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
 class Scorer:
     """A fitted CRF and the map from its marginals to a score."""
 
-    def __init__(self, texts: Sequence[str | None], toxic: np.ndarray, second: np.ndarray):
-        """second: texts that fit the map; the others fit the CRF."""
-        self.prior = (toxic.sum() + 1) / (len(toxic) + 2)
+    def __init__(self, texts: Sequence[str | None], toxic: np.ndarray, second: np.ndarray, counts: tuple[int, int]):
+        """second: texts that fit the map; the others fit the CRF. counts: all labels of each class, drawn or not."""
+        self.prior = (counts[1] + 1) / (sum(counts) + 2)
         self.model = Model(BITS)
         self.weights: np.ndarray | None = None
         seen, last = pa.array([t for t, s in zip(texts, second) if not s], pa.string()), pa.array([t for t, s in zip(texts, second) if s], pa.string())
@@ -129,12 +131,14 @@ class Scorer:
         y = toxic[second]
         if min(y.sum(), (~y).sum()) == 0:
             last, y = seen, toxic[~second]
-        self.weights = _logistic(self.evidence(Tokens(last))[0], y)
+        share = np.where(y, counts[1] / max(1, toxic.sum()), counts[0] / max(1, (~toxic).sum()))
+        self.weights = _logistic(self.evidence(Tokens(last))[0], y, share / share.mean())
 
     def evidence(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its largest log odds and log expected toxic tokens; and each token's log odds."""
+        """For each text its largest log odds, log expected toxic tokens and log length; and each token's log odds."""
         n = len(tokens.firsts) - 1
-        out = np.full((n, 2), -LEAST)
+        out = np.full((n, 3), -LEAST)
+        out[:, 2] = np.log1p(np.diff(tokens.firsts))
         if not len(tokens.starts):
             return out, np.zeros(0)
         odds = marginal_log_odds(Chains(tokens.first), self.model.emission(tokens.features), self.model.transition)
@@ -146,20 +150,20 @@ class Scorer:
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(evidence), self.prior)
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.weights[:2] + self.weights[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 #: Log odds and log counts are cut off here.
 LEAST = 12.0
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights and bias of a slightly shrunk logistic regression, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
-    w, shrink = np.zeros(3), np.diag([0.02, 0.02, 1e-6])
-    for _ in range(40):
+    w, shrink = np.zeros(x.shape[1]), np.diag([0.02] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + shrink, x.T @ (y - p) - shrink @ w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + shrink, x.T @ (weight * (y - p)) - shrink @ w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -170,27 +174,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Learns from at most `rows` labelled texts of each class and `size` bytes, none of them held out."""
     named = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     named = named.groupBy("id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["count"] for r in named.where("y IN (0, 1)").groupBy("y").count().collect()}
     # twice the rows, as some labelled ids may have no text
     drawn = None
     for y in (0, 1):
         own = named.where(F.col("y") == y).orderBy(F.md5(F.col("id").cast("string"))).limit(2 * rows)
         drawn = own if drawn is None else drawn.unionAll(own)
-    listed = drawn.toArrow()
-    chosen = docs.sparkSession.createDataFrame(listed, "id long, y int")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(chosen), "id").select("id", "y", F.octet_length("text").alias("n")).groupBy("id").agg(F.max("y").alias("y"), F.max("n").alias("n")).toArrow().to_pylist()
+    chosen = docs.sparkSession.createDataFrame(drawn.toArrow(), "id long, y int")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= size // 2)
+    # of an id that repeats the greatest text; written, so that all texts are read once
+    found = checkpointed(texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text")))
+    sized = found.select("id", "y", F.octet_length("text").alias("n")).toArrow().to_pylist()
     kept: list[int] = []
     for y in (0, 1):
         left, room = rows, size // 2
-        for r in sorted((r for r in found if r["y"] == y), key=lambda r: zlib.crc32(str(r["id"]).encode()[::-1])):
+        for r in sorted((r for r in sized if r["y"] == y), key=lambda r: zlib.crc32(str(r["id"]).encode()[::-1])):
             if left and r["n"] <= room:
                 kept, left, room = [*kept, r["id"]], left - 1, room - r["n"]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")
-    got = texts.join(F.broadcast(chosen.join(F.broadcast(ids), "id")), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text")).toArrow().to_pylist()
+    got = found.where(F.col("id").isin(kept)).toArrow().to_pylist()
     got.sort(key=lambda r: r["id"])
     toxic = np.array([bool(r["y"]) for r in got], bool)
     second = np.array([zlib.crc32(str(r["id"]).encode()) % 5 == 1 for r in got], bool)
-    return Scorer([r["text"] for r in got], toxic, second)
+    return Scorer([r["text"] for r in got], toxic, second, (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(df: DataFrame, scorer: Scorer, *, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
