@@ -5,8 +5,10 @@ others' as messages of named users, and those of SYSTEM speakers as the system's
 assistant's words and their end marker are masked in, that is, trained on.
 
 A result row is one message of one rendering: its text with markers and its character range in the
-whole rendering, which is the rows' `rendered` in order of `seq`. Long dialogues are not gathered:
-offsets are running sums within chunks of CHUNK turns, and chunk totals are added.
+whole rendering, which is the rows' `rendered` in order of `seq`. Dialogues are not gathered: messages are
+dealt by ranges of dialogue and place, so that a long dialogue has many ranges; offsets are running sums
+within a range, and totals of ranges are added. Participants meet the ranges of their dialogue before its
+messages, so that a range of messages is all that a task joins.
 
 Defined cases: a null speaker is named "unknown"; a null text is empty; "<|" in names and texts
 becomes "<\\|", so that texts hold no markers; a null dialogue id is a dialogue; null turns come first;
@@ -20,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.shared import checkpointed
+
 SYSTEM = ("system",)
 END = "<|end|>"
-CHUNK = 512
 
 
 def _plain(text: Column) -> Column:
@@ -40,14 +43,17 @@ def rotate(df: DataFrame, *, dialogue: str = "conv_id", turn: str = "turn", spea
         _plain(F.coalesce(F.col(speaker), F.lit("unknown"))).alias("s"),
         _plain(F.coalesce(F.col(text), F.lit(""))).alias("x"),
     )
-    said = said.withColumns({"chunk": F.coalesce(F.floor(F.col("t") / CHUNK), F.lit(-(1 << 60))), "digest": F.md5(F.col("x").cast("binary")), "size": F.length("x")})
-    place = Window.partitionBy("d", "chunk").orderBy("t", "s", "digest")
-    said = said.withColumn("k", F.row_number().over(place))
+    said = said.withColumns({"digest": F.md5(F.col("x").cast("binary")), "size": F.length("x")})
+    # the partition read splits messages that are equal in all else; ranges are drawn anew each time they are asked for
+    said = checkpointed(said.repartitionByRange("d", "t", "s", "digest", F.spark_partition_id()).withColumn("chunk", F.spark_partition_id()))
+    said = said.withColumn("k", F.row_number().over(Window.partitionBy("d", "chunk").orderBy("t", "s", "digest")))
 
     # positions are found on rows without texts, which are joined in the end
     light = said.select("d", "chunk", "k", "s", "size")
     people = light.where(~F.col("s").isin(*SYSTEM)).select(F.col("d").alias("pd"), F.col("s").alias("p")).distinct()
-    rows = light.join(people, F.col("d").eqNullSafe(F.col("pd"))).drop("pd")
+    ranges = light.select(F.col("d").alias("rd"), F.col("chunk").alias("rc")).distinct()
+    ranges = ranges.join(people, F.col("rd").eqNullSafe(F.col("pd"))).drop("pd")
+    rows = light.join(ranges, F.col("d").eqNullSafe(F.col("rd")) & (F.col("chunk") == F.col("rc"))).drop("rd", "rc")
     rows = rows.withColumn("width", (F.length(_head(F.col("s"), F.col("p"))) + F.col("size") + len(END) + 1).cast("long"))
     totals = rows.groupBy("d", "p", "chunk").agg(F.sum("width").alias("chars"), F.count("*").alias("n"))
     earlier = Window.partitionBy("d", "p").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
