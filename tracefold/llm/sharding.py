@@ -16,12 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.graph import checkpointed
+from tracefold.shared import checkpointed
 
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
-#: Slots are counted within chunks of a shard, so that no task sorts a whole shard.
-CHUNKS = 256
+#: Slots are counted within chunks of a shard, so that no task sorts a whole shard: at least CHUNKS, and so many
+#: that one has about CHUNK_ROWS.
+CHUNKS, CHUNK_ROWS = 256, 50_000
 #: Equal rows are counted, not kept apart; they are written out again in runs of this length.
 RUN = 10_000
 
@@ -32,16 +33,20 @@ def draw(key: Column, shard: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def scores(key: Column, weights: Sequence[float]) -> Column:
+    """An array of (score, id) for shards of these weights, in order of id; the least one gets the key."""
+    shards = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)))
+    return F.transform(shards, lambda s: F.struct((-F.log(draw(key, s["id"])) / s["weight"]).alias("score"), s["id"].alias("id")))
+
+
 def assign(key: Column, weights: Sequence[float]) -> Column:
     """The shard of a key, shard i having weights[i]; equal scores go to the smaller shard."""
-    shards = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)))
-    scores = F.transform(shards, lambda s: F.struct((-F.log(draw(key, s["id"])) / s["weight"]).alias("score"), s["id"].alias("id")))
-    return F.array_min(scores)["id"]
+    return F.array_min(scores(key, weights))["id"]
 
 
-def chunk_of(key: Column, crc: Column) -> Column:
+def chunk_of(key: Column, crc: Column, chunks: int) -> Column:
     """Spreads rows of one key by their text, and rows of one text by their key."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") + crc, F.lit(CHUNKS)).cast("int")
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") + crc, F.lit(chunks)).cast("int")
 
 
 def shard_rows(df: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", added: float = 1.0) -> DataFrame:
@@ -54,9 +59,12 @@ def shard_rows(df: DataFrame, weights: Sequence[float], *, key: str = "doc_id",
     rows = df.select(F.col(key).alias("k"), (F.octet_length(body) + RECORD_OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
     name = F.coalesce(F.col("k").cast("string"), F.lit(""))
     kinds = rows.groupBy("k", "size", "crc").agg(F.count("*").alias("n")).withColumn("name", name)
-    kinds = kinds.withColumn("shard", assign(F.col("name"), weights)).withColumn("grown", assign(F.col("name"), [*weights, added]))
-    kinds = kinds.withColumn("chunk", chunk_of(F.col("name"), F.col("crc"))).drop("name")
+    own = F.array_min(F.slice("scores", 1, len(weights)))
+    kinds = kinds.withColumn("scores", scores(F.col("name"), [*weights, added])).withColumn("own", own).withColumn("best", F.least("own", F.element_at("scores", -1)))
+    kinds = kinds.select("k", "size", "crc", "n", "name", F.col("own.id").alias("shard"), F.col("best.id").alias("grown"))
     kinds = checkpointed(kinds)  # a few bytes a row, so that texts are read once
+    chunks = max(CHUNKS, -(-kinds.count() // (CHUNK_ROWS * len(weights))))
+    kinds = kinds.withColumn("chunk", chunk_of(F.col("name"), F.col("crc"), chunks)).drop("name")
     totals = kinds.groupBy("shard", "chunk").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = totals.select("shard", "chunk", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
