@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import chat, decontaminate, licenses, permutation, pieces, sharding, simhash, substring, tokenfile, toxicity
+from tracefold.shared import checkpointed, remove
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.scratch(spark)
     tokenfile.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
-    return tokenfile.read(spark, folder).withColumnRenamed("key", "doc_id")
+    found = checkpointed(tokenfile.read(spark, folder).withColumnRenamed("key", "doc_id"))
+    remove(spark, folder)
+    return found
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,19 @@ Ids are replaced by their rank in the corpus (0 is the most frequent; ties go to
 A rank takes 1 to 4 bytes, low byte first; two bits of a control byte tell each length, four ranks to
 a control byte, and each document starts a new one. A segment, the unit that is written, is
 
-    magic "TKF1", documents n (8 bytes), control bytes c (8), data bytes d (8),
-    n keys (8 each), n token counts (8 each), c control bytes, d data bytes
+    magic "TKF2", documents n (8 bytes), of those without a key (8), control bytes c (8), data bytes d (8),
+    n keys (8 each; 0 for the first ones, which have none), n token counts (8 each), c control bytes, d data bytes
 
 and is decoded by a lookup of each control byte in a table of four lengths. Segments are rows of a
 Parquet table, so that Spark's committers and any store it knows hold them; beside it stands the
 table of ids by rank.
 
 Keys are written in ascending order over the whole table: rows are dealt by ranges of the key (and a
-digest, which splits a key that many rows share) and sorted. Texts are tokenised once; their plain
+digest of the text, and the partition read, which split a key that many rows share) and sorted. Texts are tokenised once; their plain
 ids are kept in a written table while ranks are counted.
 
 Defined cases: null and empty texts have the end id alone; a null key comes first and is returned as
-null; rows of one key are in order of a digest of their ids; an empty table writes no segment and
+null; rows of one key are in order of the CRC of their texts; an empty table writes no segment and
 gives an empty result; other columns are not read. Ids are read from the tokenizer file that a
 parameter names; each executor needs that file.
 """
@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm import textblocks as tb
-from tracefold.llm.graph import bounded_batches, remove, shared_folder
+from tracefold.llm.graph import bounded_batches
+from tracefold.shared import remove, shared_folder
 
-MAGIC = b"TKF1"
+MAGIC = b"TKF2"
 #: Bytes of text in a segment, and in a range of keys.
 SEGMENT_TEXT, RANGE_BYTES = 4 << 20, 16 << 20
 #: Words whose ids a worker keeps.
@@ -55,7 +56,6 @@ _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
 _KIND[0x30:0x3A] = 2
 #: Units that are encoded as one line.
 LINE_UNITS = 500
-_LOWEST_KEY = np.iinfo(np.int64).min
 
 
 class Encoder:
@@ -194,22 +194,22 @@ def unpack(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> tuple[n
     return ranks, at
 
 
-def segment(keys: bytes, counts: bytes, control: bytes, data: bytes) -> bytes:
+def segment(keys: bytes, nulls: int, counts: bytes, control: bytes, data: bytes) -> bytes:
     """The bytes of a segment."""
-    return MAGIC + struct.pack("<qqq", len(keys) // 8, len(control), len(data)) + keys + counts + control + data
+    return MAGIC + struct.pack("<qqqq", len(keys) // 8, nulls, len(control), len(data)) + keys + counts + control + data
 
 
-def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, the ranks of all documents end to end, and their offsets. Damaged images raise ValueError."""
-    if image[:4] != MAGIC or len(image) < 28:
+def read_segment(image: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Keys, how many of the first ones are null, the ranks of all documents end to end, and their offsets. Damaged images raise ValueError."""
+    if image[:4] != MAGIC or len(image) < 36:
         raise ValueError("not a token segment")
-    n, c, d = struct.unpack("<qqq", image[4:28])
-    if min(n, c, d) < 0 or len(image) != 28 + 16 * n + c + d:
+    n, nulls, c, d = struct.unpack("<qqqq", image[4:36])
+    if min(n, nulls, n - nulls, c, d) < 0 or len(image) != 36 + 16 * n + c + d:
         raise ValueError("a token segment of the wrong length")
-    whole = np.frombuffer(image, np.uint8)[28:]
+    whole = np.frombuffer(image, np.uint8)[36:]
     keys, counts = whole[: 8 * n].view("<i8"), whole[8 * n : 16 * n].view("<i8")
     ranks, at = unpack(counts, whole[16 * n : 16 * n + c], whole[16 * n + c :])
-    return keys, ranks, at
+    return keys, nulls, ranks, at
 
 
 def rank_table(tokens: DataFrame, size: int) -> np.ndarray:
@@ -243,7 +243,7 @@ def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("digest", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    placed = rows.repartitionByRange(max(4, -(-total // RANGE_BYTES)), "key", "digest").sortWithinPartitions("key", "digest", "text")
+    placed = rows.repartitionByRange(max(4, -(-total // RANGE_BYTES)), "key", "digest", F.spark_partition_id()).sortWithinPartitions("key", "digest", "text")
     size = max(end + 1, len(Encoder(path).word_end))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +252,13 @@ def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id
             _, offsets = tb.flat(batch.column(1))
             for low, high in tb.pieces(offsets, SEGMENT_TEXT):
                 ids, at = with_end(*encoder(path).encode(batch.column(1).slice(low, high - low)), end)
-                keys = np.asarray(batch.column(0).slice(low, high - low).fill_null(_LOWEST_KEY), "<i8")
-                made = {"part": part, "before": before, "tokens": len(ids), "keys": keys.tobytes(), "counts": np.diff(at).astype("<i8").tobytes(), "ids": ids.astype(_width(size)).tobytes()}
+                keys = batch.column(0).slice(low, high - low)
+                nulls, keys = keys.null_count, np.asarray(keys.fill_null(0), "<i8")
+                made = {"part": part, "before": before, "tokens": len(ids), "nulls": nulls, "keys": keys.tobytes(), "counts": np.diff(at).astype("<i8").tobytes(), "ids": ids.astype(_width(size)).tobytes()}
                 yield pa.RecordBatch.from_pylist([made])
                 before += len(ids)
 
-    plain = "part long, before long, tokens long, keys binary, counts binary, ids binary"
+    plain = "part long, before long, tokens long, nulls long, keys binary, counts binary, ids binary"
     placed.select("key", "text").mapInArrow(tokenise, plain).write.option("compression", "zstd").parquet(f"{folder}/plain")
     tokens = spark.read.schema(plain).parquet(f"{folder}/plain")
     table = rank_table(tokens, size)
@@ -268,9 +269,9 @@ def write(df: DataFrame, folder: str, path: str, end: int, *, key: str = "doc_id
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, before, n, keys, counts, ids = (batch.column(k)[row].as_py() for k in range(6))
+                part, before, n, nulls, keys, counts, ids = (batch.column(k)[row].as_py() for k in range(7))
                 at = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i8"))])
-                image = segment(keys, counts, *pack(rank[np.frombuffer(ids, _width(size))], at))
+                image = segment(keys, nulls, counts, *pack(rank[np.frombuffer(ids, _width(size))], at))
                 yield pa.RecordBatch.from_pylist([{"part": part, "before": before, "tokens": n, "image": image}])
 
     tokens.mapInArrow(pack_rows, "part long, before long, tokens long, image binary").write.parquet(f"{folder}/segments")
@@ -286,11 +287,11 @@ def read(spark: SparkSession, folder: str, *, ids: bool = False) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, image in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                keys, ranks, at = read_segment(image)
+                keys, nulls, ranks, at = read_segment(image)
                 own = table[ranks].astype("<u4")
                 data = own.tobytes()
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                out = {"key": pa.array(keys, mask=keys == _LOWEST_KEY), "part": pa.array(np.full(len(keys), part)), "at": pa.array(before + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())}
+                out = {"key": pa.array(keys, mask=np.arange(len(keys)) < nulls), "part": pa.array(np.full(len(keys), part)), "at": pa.array(before + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())}
                 if ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
