@@ -37,8 +37,11 @@ from tracefold.llm import textblocks as tb
 from tracefold.llm.columns import carried
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Bytes of text in a block, and bytes of text whose hashes fill a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a block, and bytes of text whose hashes fill a bucket: least and most. Between those they grow with
+#: the text, so that packets of few hashes come late: about 200 a packet at 1 TB, 3 at 100 TB.
+BLOCK_BYTES, BUCKET_BYTES = (4 << 20, 32 << 20), (16 << 20, 256 << 20)
+#: Parts of the text that blocks and buckets are, between those bounds.
+BLOCKS, BUCKETS = 30_000, 5_000
 LEAST_BLOCKS = 48
 NULL_ID = np.iinfo(np.int64).max
 #: Makes the hashes that tell buckets.
@@ -194,11 +197,11 @@ def _earlier(key: tuple, table: pa.Table) -> pa.Table:
     return _replies(key[0].as_py(), 1, blocks, packet, bits)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), spans: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), spans: bool = False, block_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256; with `spans` also the removed word ranges and `clean`, the text without them.
 
-    Every block sends a packet to most buckets: on large inputs raise `block_bytes` and `bucket_bytes`
-    as executors' memory allows (about 30 bytes of it for each byte of a block).
+    `block_bytes` and `bucket_bytes` are derived from the size of the text if they are not told; a task
+    takes about 30 bytes of memory for each byte of a block.
 
     A word goes if it lies in a window of `length` words whose sequence also starts in a row with a
     smaller id. Kept words are joined by one space. `length` must be over 30.
@@ -207,6 +210,8 @@ def remove_repeats(df: DataFrame, *, length: int = 50, key: str = "doc_id", text
         raise ValueError(f"length must be at least {PERIOD}")
     rows, kinds, own_columns = carried(df.withColumn(key, F.col(key).cast("long")), key, text, carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = block_bytes or min(max(BLOCK_BYTES[0], total // BLOCKS), BLOCK_BYTES[1])
+    bucket_bytes = bucket_bytes or min(max(BUCKET_BYTES[0], total // BUCKETS), BUCKET_BYTES[1])
     n_blocks, buckets = max(LEAST_BLOCKS, -(-total // block_bytes)), max(16, -(-total // bucket_bytes))
     docs = rows.withColumn("block", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(n_blocks)).cast("int"))
 
