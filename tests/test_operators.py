@@ -1,4 +1,5 @@
 import gzip
+import json
 import threading
 import urllib.error
 import urllib.request
@@ -244,6 +245,27 @@ def test_http(spark, tmp_path):
     assert http.post(bodies, "http://127.0.0.1:1/").where("error IS NULL").count() == 0
 
 
+LOGS = {"resourceLogs": [{"resource": {"attributes": [{"key": "service", "value": {"stringValue": "shop"}}]}, "scopeLogs": [{"scope": {"name": "lib"}, "logRecords": [
+    {"timeUnixNano": "7", "severityNumber": 9, "severityText": "INFO", "body": {"stringValue": "é"}, "traceId": "01" * 16, "spanId": "02" * 8, "flags": 1},
+    {"body": {"kvlistValue": {"values": [{"key": "n", "value": {"intValue": "5"}}, {"key": "a", "value": {"arrayValue": {"values": [{"boolValue": True}, {"doubleValue": 1.5}]}}}]}}},
+    {"attributes": [{"key": "b", "value": {"bytesValue": "AQI="}}]},
+]}]}]}
+
+
+def test_logs(spark, tmp_path):
+    text = otlp.logs_to_json(otlp.logs_from_json(json.dumps(LOGS)))
+    records = json.loads(text)["resourceLogs"][0]["scopeLogs"][0]["logRecords"]
+    for got, want in zip(records, LOGS["resourceLogs"][0]["scopeLogs"][0]["logRecords"], strict=True):
+        assert got == want
+    assert otlp.logs_to_json(otlp.logs_from_json(text)) == text and otlp.logs_to_json(otlp.logs_from_json("{}")) == "{}"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(json.dumps(LOGS) + "\nno json\n")
+    lines = spark.read.text(f"{tmp_path}/in").select(F.length("value").cast("long").alias("batch_id"), F.encode("value", "UTF-8").alias("body"))
+    rows = {r["batch_id"]: r for r in codec.log_lines(lines).collect()}
+    assert rows[7]["error"] and rows[7]["value"] is None and rows[len(json.dumps(LOGS))]["value"] == text
+    jobs.console(jobs.log_lines(spark, f"{tmp_path}/in"), f"{tmp_path}/cp").awaitTermination()
+
+
 def test_protocol_forms():
     assert otlp.from_proto(otlp.to_proto(NESTED)) == otlp.from_json(otlp.to_json(NESTED))
     assert tree(row(NESTED)) == tree(row(tree(row(NESTED))))

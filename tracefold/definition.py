@@ -217,6 +217,17 @@ def trace_definition() -> Definition:
     return _record({"resourceSpans": _records({"resource": _record(held, pooled=True), "schemaUrl": _text(), "scopeSpans": scope_spans})})
 
 
+def log_definition() -> Definition:
+    """The definition of a batch of logs but for the records' bodies, which are of any type. The names of fields."""
+    held = {"attributes": _attributes(), "droppedAttributesCount": _count()}
+    ids = {"traceId": Definition(BYTES, nullable=True), "spanId": Definition(BYTES, nullable=True)}
+    record = {"timeUnixNano": _count(), "observedTimeUnixNano": _count(), "severityNumber": _count(), "severityText": _text(), **held, "flags": _count(), **ids}
+    scope = _record({"name": _text(), "version": _text(), **held}, pooled=True)
+    scope_logs = _records({"scope": scope, "schemaUrl": _text(), "logRecords": _records(record)})
+    return _record({"resourceLogs": _records({"resource": _record(held, pooled=True), "schemaUrl": _text(), "scopeLogs": scope_logs})})
+
+
 TRACE = trace_definition()
+LOGS = log_definition()
 #: A table of batches: one row each.
 BATCHES = T.StructType([T.StructField("batch_id", T.LongType()), *spark_type(TRACE).fields])

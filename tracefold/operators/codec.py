@@ -182,3 +182,15 @@ def pools(bodies: DataFrame, options: Options = Options(), column: str = "body")
     found = bodies.select("batch_id", F.col(column).alias("body")).mapInArrow(run, "batch_id long, entries array<struct<pool: string, idx: bigint, key: string>>, error string")
     each = found.select("batch_id", "error", F.explode_outer("entries").alias("e")).where("error IS NOT NULL OR e IS NOT NULL")
     return each.select("batch_id", "e.pool", "e.idx", "e.key", "error")
+
+
+def log_lines(lines: DataFrame, column: str = "body") -> DataFrame:
+    """(batch_id, value, error): batches of logs, read from JSON texts and written in the protocol's JSON form again."""
+
+    def work(held: dict) -> dict:
+        return {"value": otlp.logs_to_json(otlp.logs_from_json(held["body"].decode()))}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each(rows, work, ["value"], [pa.string()])
+
+    return lines.select("batch_id", F.col(column).alias("body")).mapInArrow(run, "batch_id long, value string, error string")

@@ -11,7 +11,7 @@ import json
 from functools import lru_cache
 from typing import Any
 
-from tracefold.definition import ARRAY, BYTES, INTEGER, OBJECT, TRACE, Definition
+from tracefold.definition import ARRAY, BYTES, INTEGER, LOGS, OBJECT, TRACE, Definition
 from tracefold.values import kind
 
 #: Message, then name:number:type of its fields; * marks repeated ones.
@@ -244,3 +244,31 @@ def from_json(text: str) -> dict:
         return _read_json(json.loads(text), TRACE)
     except (AttributeError, KeyError, TypeError) as error:
         raise ValueError("not a trace batch") from error
+
+
+def _records(value: dict) -> list[dict]:
+    """All log records of a batch, in order."""
+    return [x for r in value.get("resourceLogs") or [] for s in r.get("scopeLogs") or [] for x in s.get("logRecords") or []]
+
+
+def logs_to_json(value: dict) -> str:
+    """A batch of logs in the protocol's JSON form; the body of a record is any value."""
+    out = _to_json(value, LOGS)
+    for made, held in zip(_records(out), _records(value)):
+        if held.get("body") is not None:
+            made["body"] = _json_any(held["body"])
+    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+
+def logs_from_json(text: str) -> dict:
+    """The batch of logs of a JSON text; anything else raises ValueError."""
+    try:
+        source = json.loads(text)
+        out = _read_json(source, LOGS)
+        for made, held in zip(_records(out), _records(source)):
+            made["body"] = _from_any(held.get("body") or {})
+            for name in ("traceId", "spanId"):
+                made[name] = made[name] if any(made[name]) else b""
+        return out
+    except (AttributeError, KeyError, TypeError) as error:
+        raise ValueError("not a batch of logs") from error

@@ -51,6 +51,12 @@ def encode_stream(batches: DataFrame, out: str, dead: str, checkpoint: str, opti
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
+def log_lines(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """A stream (batch_id, value, error) of batches of logs from JSON lines that land in a folder; `console` prints it."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(path)
+    return codec.log_lines(lines.select(line_id(), F.encode("value", "UTF-8").alias("body")))
+
+
 def console(rows: DataFrame, checkpoint: str) -> StreamingQuery:
     """Rows as JSON on standard output: for logs, and to look at a stream."""
     return rows.select(F.to_json(F.struct("*")).alias("value")).writeStream.format("console").option("truncate", "false").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
