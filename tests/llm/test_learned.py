@@ -1,5 +1,7 @@
 """Toxicity, the pipeline, and every registered query against its SQL."""
 
+import collections
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -106,6 +108,44 @@ def test_pipeline(spark, sf_dir):
     assert len({r["doc_id"] for r in out}) == len(out)
 
 
+def brute_near_copies(folder):
+    """The least id of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets, same = [], {}
+    for key, text in duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{folder}/documents.parquet' ORDER BY doc_id").fetchall():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        own = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        if own not in same:
+            same[own] = key
+            sets.append(own)
+    ids = [same[own] for own in sets]
+    posts = collections.defaultdict(list)
+    for k, own in enumerate(sets):
+        for shingle in own:
+            posts[shingle].append(k)
+    root = list(range(len(sets)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for k, own in enumerate(sets):
+        shared = collections.Counter(j for shingle in own for j in posts[shingle] if j < k)
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(j), find(k)))
+                root[b] = a
+    return sorted(ids[k] for k in range(len(sets)) if find(k) == k)
+
+
+@pytest.mark.parametrize("size, kept", [("sf0.01", 922), ("sf0.1", 9248)])
+def test_near_copies_are_those_of_all_pairs(spark, size, kept):
+    folder = f"/root/testdata/{size}"
+    found = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    got = sorted(r["doc_id"] for r in found.select("doc_id").collect())
+    assert len(got) == kept and got == brute_near_copies(folder)
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_on_awkward_and_empty_tables(spark, sf_dir, docs, empty, stage):
     for table in (docs, empty):

@@ -3,44 +3,25 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefold.shared import checkpointed
 
+#: Places over which the rows of one key are dealt.
+SALTS = 64
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoint")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lets Arrow batches hold BATCH_BYTES, unless the session has a bound of its own: texts may be long."""
     if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table, in whatever store it is."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffles that nothing refers to any more: it learns of them as the driver's JVM collects."""
     gc.collect()
@@ -68,24 +49,35 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[far], nodes[root[far]]
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least `value` of their key as `name`, nulls left out; the key and salt columns may not be null.
+
+    Rows of one key are dealt over SALTS places: each place has its minimum, the minima of a key meet, and
+    what they give goes back to the places. So no task gathers the rows of a hot key.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).repartition(key, "salt")
+    part = dealt.groupBy(key, "salt").agg(F.min(value).alias("part"))
+    told = part.select(key, "salt", F.min("part").over(Window.partitionBy(key)).alias(name))
+    return dealt.join(told, [key, "salt"]).select(*rows.columns, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an undirected edge table (a, b): root is the smallest node reachable.
 
-    Every round replaces edges by stars around smaller nodes; minima are aggregated before the shuffle
-    and joined back, so that no task gathers the neighbours of a hot node. Loops are ignored; nulls are
-    not nodes. It ends when a round changes nothing, after O(log n) rounds in practice.
+    Every round replaces edges by stars around smaller nodes; the neighbours of a hot node are spread by
+    `with_least`. Loops are ignored; nulls are not nodes. It ends when every node that has a smaller
+    neighbour has that one alone, which has none, after O(log n) rounds in practice.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _stars_only(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = with_least(both, "a", "b", "m").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        near = with_least(large, "a", "b", "m").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = checkpointed(near.where("a <> b").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-            return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-        state = tuple(seen)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each `a` has one edge, and no `b` is an `a`."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionAll(edges.select(F.col("b").alias("n"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    return ends.groupBy("n").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 OR low = 1 AND high = 1").isEmpty()

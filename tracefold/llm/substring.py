@@ -18,8 +18,8 @@ of any two is expected.
 Defined cases: null and empty texts have no words and the digest of the empty string; texts shorter
 than `length` words lose nothing; a null id ranks as 2 ** 63 - 1, after every other, and is never an
 earlier copy of another null; rows of the same id do not remove each other's words; an empty table gives an empty
-result; other columns are not read unless carried. A single text is never split: it takes about 30 bytes of a task's
-memory a byte.
+result; other columns are not read unless carried. A single text is worked on whole,
+in up to 30 bytes of memory a byte.
 """
 
 from __future__ import annotations

@@ -145,6 +145,21 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray
     return mixed(spans_hash(hashes, at, at + length, _STEP) ^ np.uint64(length))
 
 
+def shingles(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's runs of `size` words, A to Z in lower case, and the offsets of the texts among them.
+
+    Words stand between ASCII white space; a text of fewer words, but not none, is one run.
+    """
+    low = LOWER[body]
+    starts, ends, firsts = words(low, offsets, NOT_SPACE)
+    hashes, counts = word_hashes(low, starts, ends), np.diff(firsts)
+    n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    at = np.concatenate([[0], np.cumsum(n)])
+    first = np.repeat(firsts[:-1] - at[:-1], n) + np.arange(at[-1])
+    length = np.repeat(np.minimum(counts, size), n)
+    return mixed(spans_hash(hashes, first, first + length, _STEP) ^ length.astype(np.uint64)), at
+
+
 def joined(body: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The kept words of every text joined by single spaces: bytes, and each word's start and end in them.
 

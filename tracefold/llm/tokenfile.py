@@ -18,7 +18,8 @@ ids are kept in a written table while ranks are counted.
 Defined cases: null and empty texts have the end id alone; a null key comes first and is returned as
 null; rows of one key are in order of the CRC of their texts; an empty table writes no segment and
 gives an empty result; other columns are not read. Ids are read from the tokenizer file that a
-parameter names; each executor needs that file.
+parameter names; each executor needs that file. A single text is worked on whole, in about 25 bytes of
+memory a byte.
 """
 
 from __future__ import annotations
