@@ -5,9 +5,11 @@ import urllib.error
 import urllib.request
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tests.test_wire import batch, span
 from tracefold.definition import BATCHES, TRACE
@@ -16,10 +18,10 @@ from tracefold.operators import codec, delta, dictionary, flatten
 from tracefold.operators import tree as tree_operators
 from tracefold.plans import registry
 from tracefold.sources import files, http, otlp, traces
-from tracefold.sources.rows import row, tree
+from tracefold.sources.rows import pylist, row, tree
 from tracefold.streaming import jobs
 from tracefold.values import bits, fnv1a, value_hash
-from tracefold.wire import Codec, wrap
+from tracefold.wire import Codec, Options, wrap
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +69,50 @@ def test_formats_agree(spark):
     assert set(codec.sizes(both).where("batch_id = 0").toPandas()["format"]) == set(codec.FORMATS)
 
 
+def test_formats_are_compared_in_one_pass(spark, sf_dir):
+    """Each batch is made once, of flat rows, and no text of a batch is shuffled or joined."""
+    plan = registry.QUERIES["formats_roundtrip"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("FileScan") == 1 and "Join" not in plan
+    dealt = traces.event_batches(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("Exchange") == 1 and "collect_list" not in dealt[dealt.index("Exchange") :]
+
+
+def test_formats_of_events_with_nulls_and_repeated_ids(spark, tmp_path):
+    duckdb.sql(f"""COPY (SELECT CASE WHEN i % 7 > 0 THEN i // 2 END AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, CASE WHEN i % 5 > 0 THEN i END AS user_id,
+      CASE WHEN i % 3 > 0 THEN 'view' END AS event_type, CASE WHEN i % 2 > 0 THEN i / 8 END AS value, CASE WHEN i % 11 > 0 THEN '{{"k": 1}}' END AS props FROM range(3000) t(i)) TO '{tmp_path}/events.parquet'""")
+    want = duckdb.sql(registry.ORACLE_SQL["formats_roundtrip"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["formats_roundtrip"](spark, str(tmp_path)).collect()]
+    assert len(want) == 4 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_rows_by_columns():
+    kind = to_arrow_type(BATCHES["resourceSpans"].dataType)
+    values = [row(v)["resourceSpans"] for v in (NESTED, batch(), {"resourceSpans": []}, batch(span(name=None, attributes=None, links=None, status=None)))]
+    values += [None, [None], values[0] + [None] + values[0]]
+    array = pa.array(values, kind)
+    for low in range(len(values) + 1):
+        for size in range(len(values) + 1 - low):
+            assert repr(pylist(array.slice(low, size))) == repr(array.slice(low, size).to_pylist())
+    hidden = pa.ListArray.from_arrays(pa.array([0, 2, 3], pa.int32()), pa.array([1, 2, 3]), mask=pa.array([True, False]))  # a null that stands for two items
+    bare = pa.Array.from_buffers(pa.list_(pa.int64()), 0, [None, pa.py_buffer(b"")], children=[pa.array([], pa.int64())])
+    assert pylist(bare) == [] and pylist(hidden) == [None, [3]] and pylist(pa.array([{"a": 1}, None])) == [{"a": 1}, None]
+
+
+def test_formats_that_differ_or_fail_are_told(spark, monkeypatch):
+    bad = frame(spark, [NESTED, batch(span(name=None, traceId=None)), batch(span(attributes={"x": [None]})), batch(span(droppedAttributesCount=-1))])
+    rows = {r["batch_id"]: r for r in codec.roundtrips(bad).collect()}
+    assert [[rows[k][f] for f in codec.FORMATS] for k in range(4)] == [[True] * 7, [True] * 7, [True] * 4 + [None] * 3, [None] * 7]
+    assert [rows[k]["spans"] for k in range(4)] == [2, 1, 1, 1] and rows[0]["error"] is None and "dict: " in rows[2]["error"] and "proto: " in rows[3]["error"]
+    other = lambda f, change: lambda *a: change(f(*a))
+    monkeypatch.setattr(otlp, "from_json", other(otlp.from_json, lambda v: {"resourceSpans": v["resourceSpans"] * 2}))
+    found = codec.compared(NESTED, codec.FORMATS, Options())
+    assert [f for f in codec.FORMATS if not found[f]] == ["json"]
+    later = Codec(TRACE).encode(batch(span(start=6)))
+    monkeypatch.setattr(codec, "decompressed", lambda body, method: later if method == "gzip" else b"")
+    found = codec.compared(batch(span()), ("dict", "dict_gzip", "dict_zstd", "proto_zstd"), Options())
+    assert (found["dict"], found["dict_gzip"], found["dict_zstd"], found["proto_zstd"]) == (True, False, None, False) and "dict_zstd: " in found["error"]
+
+
 def test_broken_rows_are_told_apart(spark):
     good = Codec(TRACE).encode(NESTED)
     bodies = spark.createDataFrame([(1, good), (2, good[:-3]), (3, None), (4, b"")], "batch_id long, body binary")

@@ -8,18 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.shared import checkpointed
+from tracefold.shared import bounded_batches as bounded_batches, checkpointed
 
 #: Places over which the rows of one key are dealt.
 SALTS = 64
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches hold BATCH_BYTES, unless the session has a bound of its own: texts may be long."""
-    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def release(spark: SparkSession) -> None:

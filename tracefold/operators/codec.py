@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracefold.definition import BATCHES, TRACE, Definition
+from tracefold.shared import bounded_batches
 from tracefold.sources import otlp
-from tracefold.sources.rows import row, tree
-from tracefold.values import canonical
+from tracefold.sources.rows import pylist, row, tree
+from tracefold.values import canonical, identity
 from tracefold.wire import Codec, Options
 
 #: Names of the formats, in which a batch can be written.
@@ -76,7 +77,7 @@ def _each(batches: Iterator[pa.RecordBatch], work: Callable[[dict], dict], names
         step = max(1, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes))
         for low in range(0, batch.num_rows, step):
             rows = []
-            for held in batch.slice(low, step).to_pylist():
+            for held in pylist(batch.slice(low, step).to_struct_array()):
                 made: dict = {"batch_id": held["batch_id"]}
                 try:
                     made |= work(held)
@@ -123,6 +124,60 @@ def decode(bodies: DataFrame, form: str = "dict", options: Options = Options(),
     return bodies.select("batch_id", F.col(column).alias("body")).mapInArrow(run, schema)
 
 
+def _spans(value: dict) -> int:
+    return sum(len(s["spans"] or ()) for r in value["resourceSpans"] or () for s in r["scopeSpans"] or ())
+
+
+def compared(value: dict, forms: tuple[str, ...], options: Options) -> dict:
+    """For each format, whether it gives the batch back that protocol buffers give: None, and a text in `error`, if it can't be written or read."""
+    plain, error = _tried(lambda: written(value, "proto", options))
+    given, error = _tried(lambda: read(plain, "proto", options)) if error is None else (None, error)
+    if error:
+        return {"error": f"proto: {error}"}
+    shown, bases = repr(given), {"proto": (plain, True)}
+
+    def same(body: bytes, base: str) -> bool:
+        got = read(body, base, options)
+        got = otlp.completed(got) if base == "dict" else got
+        return repr(got) == shown or identity(got) == identity(given)  # texts differ by the order of attributes too
+
+    def based(base: str) -> tuple[bytes, bool]:
+        """A plain format's bytes, and whether they give the batch; once for all formats that compress them."""
+        if base not in bases:
+            body = written(given if base == "dict" else value, base, options)
+            bases[base] = body, same(body, base)
+        return bases[base]
+
+    def kept(form: str) -> bool:
+        base, _, method = form.partition("_")
+        body, good = based(base)
+        again = decompressed(compressed(body, method), method) if method else body
+        return good if again == body else same(again, base)
+
+    made = {form: _tried(lambda: kept(form)) for form in forms}
+    faults = [f"{form}: {error}" for form, (_, error) in made.items() if error]
+    return {form: good for form, (good, _) in made.items()} | {"error": "; ".join(faults) or None}
+
+
+def roundtrips(batches: DataFrame, forms: tuple[str, ...] = FORMATS, options: Options = Options()) -> DataFrame:
+    """(batch_id, spans, one boolean column for each format, error): whether it gives the batch back that protocol buffers give.
+
+    Messages are made of the batch that protocol buffers give, as nulls can't be in them, and what they leave
+    out is the protocol's default. A batch is written, read and compared in one place, so that nothing but the
+    outcome leaves the task.
+    """
+    bounded_batches(batches.sparkSession)
+
+    def work(held: dict) -> dict:
+        value = tree(held)
+        return {"spans": _spans(value)} | compared(value, forms, options)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each(rows, work, ["spans", *forms], [pa.int64(), *[pa.bool_()] * len(forms)])
+
+    return batches.select(*BATCHES.names).mapInArrow(run, "batch_id long, spans long, " + "".join(f"{f} boolean, " for f in forms) + "error string")
+
+
 _TAKEN = pa.list_(pa.struct([("format", pa.string()), ("bytes", pa.int64()), ("write_nanos", pa.int64()), ("read_nanos", pa.int64()), ("error", pa.string())]))
 
 
@@ -141,8 +196,7 @@ def _measured(batches: DataFrame, options: Options, back: bool) -> DataFrame:
             if back and error is None:
                 error = _tried(lambda: read(body, form, options))[1]
             out.append({"format": form, "bytes": None if body is None else len(body), "write_nanos": done - began, "read_nanos": time.perf_counter_ns() - done if back else None, "error": error})
-        spans = sum(len(s["spans"] or ()) for r in value["resourceSpans"] or () for s in r["scopeSpans"] or ())
-        return {"spans": spans, "plain": out[FORMATS.index("proto")]["bytes"], "taken": out}
+        return {"spans": _spans(value), "plain": out[FORMATS.index("proto")]["bytes"], "taken": out}
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _each(rows, work, ["spans", "plain", "taken"], [pa.int64(), pa.int64(), _TAKEN])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
@@ -404,17 +405,9 @@ def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id // 500 AS batch_id, count(*) AS spans, true AS read_back FROM events GROUP BY 1")
 def formats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each format gives the batch back that protocol buffers give."""
-    batches = traces.event_batches(spark, sf_dir)
-    coded = codec.encode(batches, codec.FORMATS)
-    spans = F.aggregate("resourceSpans", F.lit(0), lambda n, r: n + F.aggregate(r["scopeSpans"], F.lit(0), lambda m, s: m + F.size(s["spans"])))
-    out = batches.select("batch_id", spans.cast("long").alias("spans"))
-    want = codec.decode(coded, "proto", column="proto").select("batch_id", F.to_json("resourceSpans").alias("want"))
-    for form in ("proto_zstd", "proto_gzip", "json"):
-        got = codec.decode(coded, form, column=form).select(F.col("batch_id").alias("id"), F.to_json("resourceSpans").alias(form))
-        want = want.join(got, F.col("batch_id") == F.col("id")).drop("id")
-    same = (F.col("want") == F.col("proto_zstd")) & (F.col("want") == F.col("proto_gzip")) & (F.col("want") == F.col("json"))
-    return out.join(want.select("batch_id", same.alias("read_back")), "batch_id")
+    """Whether each of the seven formats gives the batch back that protocol buffers give."""
+    found = codec.roundtrips(traces.event_batches(spark, sf_dir))
+    return found.select("batch_id", "spans", functools.reduce(Column.__and__, [F.col(f) for f in codec.FORMATS]).alias("read_back"))
 
 
 @query("SELECT o_orderkey AS trace, 0 AS pos, 0 AS depth FROM orders UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY " + ", ".join(traces.LINE_ORDER[1:]) + "), CASE WHEN o_orderkey IS NOT NULL THEN 1 END FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")

@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share, and tables written there to cut lineage."""
+"""The folder that the driver and all executors share, tables written there to cut lineage, and the bound of Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_BYTES, unless the session has a bound of its own: rows may be long."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset and all run in one process."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +68,13 @@ def _span(**held: Column) -> Column:
     return F.struct(*(held.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields))
 
 
-def nest(rows: DataFrame, service: str) -> DataFrame:
-    """Batches of (batch_id, pos, span): one resource and one scope each."""
-    pairs = F.collect_list(F.struct("pos", "span"))
-    ordered = F.transform(F.array_sort(pairs, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)), lambda e: e["span"])
+def nest(rows: DataFrame, service: str, span: Callable[[Column], Column] = lambda e: e["span"]) -> DataFrame:
+    """Batches of (batch_id, pos, what spans are made of): one resource and one scope each.
+
+    span makes the span of a row. It does so after the shuffle, as spans are many times as large as flat rows.
+    """
+    pairs = F.collect_list(F.struct(*(c for c in rows.columns if c != "batch_id")))
+    ordered = F.transform(F.array_sort(pairs, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)), span)
     scope = F.struct(F.struct(F.lit("tables").alias("name"), F.lit("1").alias("version"), F.create_map().cast(ATTRIBUTES).alias("attributes"), F.lit(0).cast("long").alias("droppedAttributesCount")).alias("scope"), F.lit("").alias("schemaUrl"), F.col("spans"))
     resource = F.struct(_text_map(service=F.lit(service)).alias("attributes"), F.lit(0).cast("long").alias("droppedAttributesCount"))
     named = rows.groupBy("batch_id").agg(ordered.alias("spans"))
@@ -80,14 +85,19 @@ def nest(rows: DataFrame, service: str) -> DataFrame:
 def event_batches(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
     """Events as spans, in batches of `size` event ids; times never go back."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    start = _nanos(F.col("ts"))
-    span = _span(
-        traceId=_id(F.col("user_id"), 16), spanId=_id(F.col("event_id"), 8), parentSpanId=_id(F.lit(0).cast("long"), 8), traceState=F.lit(""),
-        name=F.col("event_type"), kind=F.lit(1), startTimeUnixNano=start, endTimeUnixNano=start + F.coalesce(F.col("value"), F.lit(0.0)).cast("long"),
-        attributes=_text_map(props=F.col("props")), droppedAttributesCount=F.lit(0), droppedEventsCount=F.lit(0), droppedLinksCount=F.lit(0),
-        events=F.array(), links=F.array(), status=F.struct(F.lit("").alias("message"), F.lit(0).cast("long").alias("code")),
-    )
-    return nest(e.select(F.floor(F.col("event_id") / size).alias("batch_id"), F.col("event_id").alias("pos"), span.alias("span")), "events")
+
+    def span(r: Column) -> Column:
+        return _span(
+            traceId=_id(r["user_id"], 16), spanId=_id(r["pos"], 8), parentSpanId=_id(F.lit(0).cast("long"), 8), traceState=F.lit(""),
+            name=r["event_type"], kind=F.lit(1), startTimeUnixNano=r["start"], endTimeUnixNano=r["start"] + r["taken"],
+            attributes=_text_map(props=r["props"]), droppedAttributesCount=F.lit(0), droppedEventsCount=F.lit(0), droppedLinksCount=F.lit(0),
+            events=F.array(), links=F.array(), status=F.struct(F.lit("").alias("message"), F.lit(0).cast("long").alias("code")),
+        )
+
+    taken = F.coalesce(F.col("value"), F.lit(0.0)).cast("long")
+    rows = e.select(F.floor(F.col("event_id") / size).alias("batch_id"), F.col("event_id").alias("pos"), "user_id", "event_type", "props", _nanos(F.col("ts")).alias("start"), taken.alias("taken"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch_id")  # counted, as small rows that make large batches would be merged into few tasks
+    return nest(dealt, "events", span)
 
 
 #: A unique order of line items, as order and line number are not.
