@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -61,6 +62,21 @@ def test_substring(docs, rows, length):
             assert (r["id"], r["clean"]) in texts
 
 
+def test_kept_words_take_little_memory():
+    rng = np.random.default_rng(8)
+    texts = [None, "", " \t", *(" " * (k % 3) + "  ".join(f"w{x}é" for x in rng.integers(0, 10**6, 300)) for k in range(1200)), None, "  x "]
+    block = substring._Block(pa.table({"id": range(len(texts)), "text": pa.array(texts)}), 50, 16)
+    gone = rng.random(len(block.doc)) < 0.4
+    gone[block.doc == 9] = True
+    assert len(block.body) > 3 * textblocks.PIECE_BYTES
+    tracemalloc.start()
+    found = [hashlib.sha256(t).digest() for t in block.kept(gone)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [hashlib.sha256(b" ".join(w for w, g in zip(split(t), gone[a:b]) if not g)).digest() for t, a, b in zip(texts, block.firsts[:-1], block.firsts[1:])]
+    assert peak < 10 * len(block.body)
+
+
 def test_rows_that_repeat_are_spread(spark):
     passage = " ".join(f"r{k}" for k in range(60))
     many = spark.range(1, 601, 1, 12).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(passage)).otherwise(F.concat(F.lit("x "), F.lit(passage))).alias("text"))
@@ -195,6 +211,13 @@ def test_one_of_each(docs):
     assert Counter(r["doc_id"] for r in found.select("doc_id").collect()) == Counter([0, 3, 5, 6, 9, 10, 11, 12, 13, 14, 15, 16, None])
 
 
+def test_candidates_let_go_of_their_shuffles(spark, monkeypatch):
+    plans, alike = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a, **b: (plans.append(pairs._jdf.queryExecution().executedPlan().toString()), alike(pairs, *a, **b))[1])
+    assert simhash.one_of_each(pairs_of_texts(spark, 20, 20)).count() == 20
+    assert len(plans) == 2 and not [p for p in plans if "Exchange" in p or "Arrow" in p]
+
+
 def pairs_of_texts(spark, pairs, changed, n=180):
     """Ids 2k and 2k + 1 are texts of n shingles that differ in the last `changed` words; Jaccard (n - changed) / (n + changed)."""
     rows = []

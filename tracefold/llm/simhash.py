@@ -332,10 +332,11 @@ def row_name() -> Column:
 def alike(pairs: DataFrame, kinds: DataFrame, source: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more.
 
-    `kinds` is (node, first) of all sets, first being the (id, digest) of a text in `source` that has the
-    set; only those texts are looked at, and a set is sent once for each pair of it.
+    The pairs are read three times, so they come checkpointed: a caller that has only that table lets Spark
+    delete the shuffles which found them. `kinds` is (node, first) of all sets, first being the (id, digest)
+    of a text in `source` that has the set; only those texts are looked at, and a set is sent once for each
+    pair of it.
     """
-    pairs = checkpointed(pairs)
     wanted = kinds.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.xxhash64("first.id", "first.digest").alias("name"))
     told = source.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot_of("name"))))  # 4 MB
 
@@ -516,7 +517,8 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     dealt = kinds.select("node", *names).mapInArrow(deal, "bucket int, keys binary, nodes binary, fps binary")
-    nearest = dealt.groupBy("bucket").applyInArrow(near, "a long, b long").distinct()
+    nearest = checkpointed(dealt.groupBy("bucket").applyInArrow(near, "a long, b long").distinct())
+    release(df.sparkSession)
     early = components(alike(nearest, kinds, source, shingle=shingle, similarity=similarity))
     release(df.sparkSession)
 
@@ -567,7 +569,8 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     posts = placed.mapInArrow(deal_tokens, "bucket int, sets binary, postings binary")
-    meeting = possible(posts.groupBy("bucket").applyInArrow(meet, "a long, b long"), kinds, similarity)
+    meeting = checkpointed(possible(posts.groupBy("bucket").applyInArrow(meet, "a long, b long"), kinds, similarity))
+    release(df.sparkSession)
     late = alike(meeting, kinds, source, shingle=shingle, similarity=similarity)
     release(df.sparkSession)
     roots = components(early.toDF("a", "b").unionByName(late)).withColumnRenamed("node", "n")
